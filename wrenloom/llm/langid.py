@@ -1,6 +1,6 @@
 """Language identification by prediction by partial matching (PPM).
 
-For each language a context tree of variable order (at most `order` bytes) is counted on a bounded sample of labelled rows and
+Texts are folded to small letters first. For each language a context tree of variable order (at most `order` bytes) is counted on a bounded sample of labelled rows and
 then frozen. A byte after context c costs -log2 p, where method C estimates p: seen after c, n(byte|c) / (n(c) + d(c)) with
 d(c) the distinct bytes seen after c; unseen, the escape d(c) / (n(c) + d(c)) times p after the next shorter context. Below
 the empty context all symbols are equally likely. There are no exclusions, so that a cost depends on context and byte alone.
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenloom.llm.textcodes import pieces, string_buffers
+from wrenloom.llm.textcodes import LOWER, pieces, string_buffers
 
 #: Bounds of the training sample: rows and bytes for each language.
 TRAIN_ROWS, TRAIN_BYTES = 300, 400_000
@@ -36,6 +36,15 @@ LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of ASCII and Latin-1 made small, so that a text in capitals is still of its language."""
+    out = LOWER[data]
+    if len(out) > 1:
+        second = out[1:]
+        second[(data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+    return out
+
+
 @dataclass
 class Model:
     """Frozen statistics. child: [2 * nodes, alphabet] walk table; node n + k means "stopped at k". cost: [nodes, alphabet, languages] bits."""
@@ -62,6 +71,7 @@ def _counts(coded: np.ndarray, order: int, size: int) -> list[tuple[np.ndarray,
 
 def train(samples: dict[str, list[bytes]], order: int = ORDER, alphabet: int = ALPHABET, nodes: int = NODES, most_bits: float = MOST_BITS) -> Model:
     """Context trees of the samples. Of the contexts, the `nodes` commonest of all languages are kept, each with all its suffixes. No samples: no languages."""
+    samples = {k: [fold(np.frombuffer(t, np.uint8)).tobytes() for t in v] for k, v in samples.items()}
     languages = sorted(samples)
     total = np.zeros(256, np.int64)
     for texts in samples.values():
@@ -132,7 +142,7 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     of_letters, letters = out.copy(), np.zeros(rows, np.int64)
     if not len(data):
         return out, of_letters, letters
-    s = model.symbol[data]
+    s = model.symbol[fold(data)]
     back = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))  # bytes of the row before this one
     node = np.zeros(len(data), np.int32)
     flat, width = model.child.ravel(), model.child.shape[1]
