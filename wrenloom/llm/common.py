@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,3 +55,9 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 def fragments(spark: SparkSession) -> int:
     """How many partitions a hand-made shuffle uses: those of the session's own shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def release(spark: SparkSession) -> None:
+    """Ask for the removal of shuffle files of plans that nothing refers to any more: Spark removes them when the driver's JVM collects garbage, which may be half an hour later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

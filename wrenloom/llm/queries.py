@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenloom.llm import langid
+from wrenloom.llm import langid, ngramjoin
 from wrenloom.llm.common import table
 
 
@@ -15,9 +15,30 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(langid.training_sample(docs)))
 
 
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_language_id": language_id}
+    return {"op5_language_id": language_id, "op8_ngram_jaccard": ngram_jaccard}
+
+
+#: Words as textcodes has them, with the capitals of ASCII made small.
+WORDS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+
+NGRAM_JACCARD = f"""
+WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {ngramjoin.N} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {ngramjoin.N} + 2), lambda i: array_to_string(w[i:i + {ngramjoin.N} - 1], ' ')) END)) AS g FROM words WHERE len(w) > 0),
+classed AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS least FROM sets),
+grams AS (SELECT doc_id, len(g) AS size, unnest(g) AS gram FROM classed WHERE doc_id = least),
+shared AS (SELECT gram FROM grams GROUP BY gram HAVING count(*) > 1),
+few AS (SELECT grams.* FROM grams SEMI JOIN shared USING (gram)),
+near AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS j
+    FROM few a JOIN few b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT doc_a, doc_b, overlap, round(j, 6) AS jaccard FROM near WHERE j >= {ngramjoin.THRESHOLD} - 1e-12
+UNION ALL SELECT least, doc_id, len(g), 1.0::DOUBLE FROM classed WHERE doc_id > least"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_ngram_jaccard": NGRAM_JACCARD}
