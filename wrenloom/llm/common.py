@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,11 @@ def fragments(spark: SparkSession) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask for the removal of shuffle files of plans that nothing refers to any more: Spark removes them when the driver's JVM collects garbage, which may be half an hour later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Ask for the removal of shuffle files of plans that nothing refers to any more: Spark removes them when the driver's JVM collects garbage, which may be half an hour later.
+
+    Twice, as the first collection only tells the JVM what Python has dropped.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()

@@ -265,16 +265,61 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, reps: DataFrame, many: int = FRAGMENTS) -> DataFrame:
-    """The exact overlap of each pair: partial ones by fragment of the n-gram codes, summed."""
-    cut_at = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda f: F.struct(f.alias("f"), F.filter("codes", lambda c: F.pmod(F.xxhash64(c), F.lit(many)) == f).alias("seg")))
-    segments = reps.select("doc_id", F.explode(cut_at).alias("s")).select("doc_id", "s.f", "s.seg")
-    one = segments.select(F.col("doc_id").alias("a"), "f", F.col("seg").alias("seg_a"))
-    two = segments.select(F.col("doc_id").alias("b"), F.col("f").alias("g"), F.col("seg").alias("seg_b"))
-    both = pairs.join(one, "a").join(two.withColumnRenamed("b", "b2"), (F.col("b") == F.col("b2")) & (F.col("f") == F.col("g")))
-    counted = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("seg_a", "seg_b")).alias("n"))
+    """The exact overlap of each pair: partial ones by fragment of the n-gram codes, summed.
+
+    Pairs of one group of near copies meet in one bucket, named by the least neighbour of their first document, so that a document's
+    n-grams travel about once and not once for each of its pairs.
+    """
+    parts = fragments(reps.sparkSession)
+    ends = pairs.selectExpr("a as x", "a as y").unionByName(pairs.selectExpr("b as x", "a as y"))
+    home = ends.groupBy("x").agg(F.pmod(F.xxhash64(F.min("y")), F.lit(parts)).cast("int").alias("home"))
+    placed = pairs.join(home.select(F.col("x").alias("a"), "home"), "a").select("home", "a", "b", "size_a", "size_b")
+    wanted = placed.selectExpr("home as spot", "a as doc_id").unionByName(placed.selectExpr("home as spot", "b as doc_id")).distinct()
+    cut_at = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda f: F.struct(f.alias("f"), F.filter("codes", lambda c: F.pmod(c, F.lit(many)) == f).alias("seg")))
+    segments = reps.select("doc_id", "codes").join(wanted, "doc_id").select("spot", "doc_id", F.explode(cut_at).alias("s")).select("spot", F.col("s.f").alias("g"), "doc_id", "s.seg")
+    sides = placed.select("home", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("f"), "a", "b", "size_a", "size_b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32()), ("n", pa.int32())])
+
+    def count(two: pa.Table, segs: pa.Table) -> pa.Table:
+        if not two.num_rows:
+            return schema.empty_table()
+        two = two.combine_chunks()
+        docs = segs.column("doc_id").to_numpy()
+        lists = segs.column("seg").combine_chunks()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.argsort(docs, kind="stable")
+        rank = np.empty(len(docs), np.int64)
+        rank[at] = np.arange(len(docs))
+        _, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        base = int(flat.max()) + 1 if len(flat) else 1
+        key = np.sort(np.repeat(rank, size) * base + flat)
+        size = size[at]
+        start = np.concatenate([[0], np.cumsum(size)])
+        x, y = (np.searchsorted(docs[at], two.column(c).to_numpy()) for c in ("a", "b"))
+        x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+        n = np.zeros(len(x), np.int64)
+        for a, b in _runs(size[x], 1_000_000):
+            m = size[x[a:b]]
+            owner = np.repeat(np.arange(b - a), m)
+            mine = key[np.repeat(start[x[a:b]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())] % base
+            sought = y[a:b][owner] * base + mine
+            spot = np.minimum(np.searchsorted(key, sought), max(len(key) - 1, 0))
+            n[a:b] = np.bincount(owner[key[spot] == sought], minlength=b - a) if len(sought) else 0
+        return pa.table([two.column(c).combine_chunks() for c in ("a", "b", "size_a", "size_b")] + [pa.array(n, pa.int32())], schema=schema)
+
+    counted = sides.groupBy("home", "f").cogroup(segments.groupBy("spot", "g")).applyInArrow(count, "a bigint, b bigint, size_a int, size_b int, n int")
     return counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Index ranges whose sizes add up to about `most`, or of one element."""
+    total, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """All near pairs: (doc_a, doc_b, overlap, jaccard), doc_a < doc_b.
 
@@ -292,7 +337,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     classes = found.where("sig is not null").select("doc_id", "size", F.min("doc_id").over(Window.partitionBy("sig", "size")).alias("least")).where("doc_id > least")
     members = cut(classes)
     reps = found.join(sized(members.select("doc_id"), members.count()), "doc_id", "left_anti")
-    near = overlaps(candidates(reps, threshold), reps)
+    near = overlaps(cut(candidates(reps, threshold)), reps)
+    release(spark)
     jaccard = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
     pairs = near.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.col("overlap").cast("bigint"), F.round(F.least(jaccard, F.lit(1.0)), 6).alias("jaccard"), jaccard.alias("exact")).where(F.col("exact") >= threshold - 1e-12).drop("exact")
     return pairs.unionByName(members.select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").cast("bigint").alias("overlap"), F.lit(1.0).alias("jaccard")))
