@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenloom.llm import langid, ngramjoin
+from wrenloom.llm import decontaminate, langid, ngramjoin
 from wrenloom.llm.common import table
 
 
@@ -19,8 +19,12 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents"))
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_language_id": language_id, "op8_ngram_jaccard": ngram_jaccard}
+    return {"op5_language_id": language_id, "op8_ngram_jaccard": ngram_jaccard, "op9_decontamination": decontamination}
 
 
 #: Words as textcodes has them, with the capitals of ASCII made small.
