@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenloom.llm import decontaminate, langid, ngramjoin
+from wrenloom.llm import bestfit, crf, decontaminate, langid, ngramjoin
 from wrenloom.llm.common import table
 
 
@@ -23,8 +23,16 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.redact(table(spark, sf_dir, "documents"), crf.trained())
+
+
+def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_language_id": language_id, "op8_ngram_jaccard": ngram_jaccard, "op9_decontamination": decontamination}
+    return {"op4_best_fit_packing": best_fit, "op6_pii": pii, "op5_language_id": language_id, "op8_ngram_jaccard": ngram_jaccard, "op9_decontamination": decontamination}
 
 
 #: Words as textcodes has them, with the capitals of ASCII made small.
