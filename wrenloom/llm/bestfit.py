@@ -1,7 +1,7 @@
 """Best-fit packing of documents into bins of fixed capacity, in bulk-synchronous rounds.
 
-A document of n words becomes n div capacity whole bins and a remainder. Remainders are placed by falling size class, from
-capacity / 2**(k+1) (excluded) to capacity / 2**k. A class takes rounds of one match each:
+A document of n words becomes n div capacity whole bins and a remainder. Remainders are placed by falling size class: those over
+half the capacity, then those over an eighth, a thirty-second and so on. A class takes rounds of one match each:
 
 * The class's items and the open gaps are range-sorted by size together. A gap that can take several items of any size in the class
   stands as so many equal slots.
@@ -11,8 +11,9 @@ capacity / 2**(k+1) (excluded) to capacity / 2**k. A class takes rounds of one m
   "slots 10-19 left over in partition 7 take items 0-9 left over in partition 5". Ties and conflicts are settled by that rank alone.
 * Gaps shrink by what they took, and the class sweeps again, until a round places nothing.
 
-Items of the class that fit nowhere then open bins, as many to a bin as fit for certain. A round places as many items as any matching
-of items to slots could, so a class needs few rounds, and there are log2(capacity) + 1 classes, whatever the number of documents.
+Items of the class that fit nowhere then open bins, filled by falling size partition by partition. A round places as many items as any
+matching of items to slots could, so a class needs few rounds, and there are about log4(capacity) + 1 classes, whatever the number
+of documents.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from wrenloom.llm.common import cut, fragments, release
 
 CAPACITY = 2048
+#: A sweep uses a partition for so many rows, and no more partitions than the session's shuffles have.
+SWEEP_ROWS = 50_000
 _SWEPT = "part int, kind int, id bigint, slot int, size int, bin bigint, bin_slot int, rank bigint"
 
 
@@ -40,11 +43,11 @@ def _pieces(docs: DataFrame, capacity: int) -> DataFrame:
     many = F.greatest(F.ceil(F.col("n") / capacity).cast("int"), F.lit(1))
     each = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), n.alias("n")).select("doc_id", "n", F.explode(F.sequence(F.lit(0), many - 1)).alias("piece"))
     rows = each.select("doc_id", "piece", (F.col("piece") * capacity).cast("bigint").alias("start"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).cast("int").alias("size"))
-    level = F.when(F.col("size").between(1, capacity - 1), F.floor(F.log2(F.lit(capacity) / F.col("size"))).cast("int"))
+    level = F.when(F.col("size").between(1, capacity - 1), F.floor((F.floor(F.log2(F.lit(capacity) / F.col("size"))) + 1) / 2).cast("int"))
     return rows.select(F.monotonically_increasing_id().alias("item"), "*", level.alias("level"))
 
 
-def _sweep(items: DataFrame, slots: DataFrame) -> DataFrame:
+def _sweep(items: DataFrame, slots: DataFrame, number: int) -> DataFrame:
     """items: (id, size); slots: (id, slot, size). Rows with a bin are matches; the others are left over, ranked as the module says."""
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +72,7 @@ def _sweep(items: DataFrame, slots: DataFrame) -> DataFrame:
 
     rows = items.select(F.lit(0).alias("kind"), "id", F.lit(0).alias("slot"), "size").unionByName(slots.select(F.lit(1).alias("kind"), "id", "slot", "size"))
     by = ["size", "kind", "id", "slot"]
-    return rows.repartitionByRange(fragments(rows.sparkSession), *by).sortWithinPartitions(*by).mapInPandas(sweep, _SWEPT)
+    return rows.repartitionByRange(number, *by).sortWithinPartitions(*by).mapInPandas(sweep, _SWEPT)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -97,12 +100,12 @@ def across(left: dict[int, list[int]]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _round(todo: DataFrame, gaps: DataFrame, largest: int, number: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """One match of todo (id, size) with gaps (bin, gap): what was placed (id, size, bin, round, slot), what wasn't, and the numbers of both."""
+def _round(todo: DataFrame, gaps: DataFrame, largest: int, number: int, rows: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """One match of todo (id, size) with gaps (bin, gap): what was placed (id, size, bin, round, slot), what wasn't, and the numbers of both. rows: about how many take part."""
     spark = todo.sparkSession
     times = F.greatest(F.floor(F.col("gap") / largest).cast("int"), F.lit(1))
-    slots = gaps.where(2 * F.col("gap") > largest).select(F.col("bin").alias("id"), F.explode(F.sequence(F.lit(0), times - 1)).alias("slot"), F.floor(F.col("gap") / times).cast("int").alias("size"))
-    swept = cut(_sweep(todo, slots))
+    slots = gaps.select(F.col("bin").alias("id"), F.explode(F.sequence(F.lit(0), times - 1)).alias("slot"), F.floor(F.col("gap") / times).cast("int").alias("size"))
+    swept = cut(_sweep(todo, slots, max(1, min(fragments(spark), rows // SWEEP_ROWS))))
     left: dict[int, list[int]] = {}
     matched = waiting = 0
     for r in swept.groupBy("part", "kind", F.col("bin").isNotNull().alias("done")).count().collect():
@@ -129,22 +132,22 @@ def _round(todo: DataFrame, gaps: DataFrame, largest: int, number: int) -> tuple
     return placed.withColumn("round", F.lit(number)), todo.select("id", "size"), matched, waiting
 
 
-def _open(todo: DataFrame, each: int, number: int) -> DataFrame:
-    """Bins for the items of todo, `each` to a bin; a bin has the number of its first item."""
+def _open(todo: DataFrame, capacity: int, number: int) -> DataFrame:
+    """Bins for the items of todo: each partition fills one after the other by falling size. A bin has the number of its first item."""
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, first = 0, 0
+        used, first, slot = capacity, 0, 0
         for rows in batches:
             bins, slots = [], []
-            for i in rows["id"].tolist():
-                if n % each == 0:
-                    first = i
+            for i, size in zip(rows["id"].tolist(), rows["size"].tolist()):
+                if used + size > capacity:
+                    used, first, slot = 0, i, 0
                 bins.append(first)
-                slots.append(n % each)
-                n += 1
+                slots.append(slot)
+                used, slot = used + size, slot + 1
             yield pd.DataFrame({"id": rows["id"], "size": rows["size"], "bin": pd.Series(bins, dtype="int64"), "slot": pd.Series(slots, dtype="int32"), "round": pd.Series([number] * len(bins), dtype="int32")})
 
-    return todo.mapInPandas(fill, "id bigint, size int, bin bigint, slot int, round int")
+    return todo.sortWithinPartitions(F.desc("size"), "id").mapInPandas(fill, "id bigint, size int, bin bigint, slot int, round int")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -158,28 +161,28 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         raise ValueError("capacity must be positive")
     items = cut(_pieces(docs, capacity))
     release(items.sparkSession)
-    levels = [r["level"] for r in items.groupBy("level").count().collect() if r["level"] is not None]
+    levels = {r["level"]: r["count"] for r in items.groupBy("level").count().collect() if r["level"] is not None}
     placed: list[DataFrame] = []
     gaps: DataFrame | None = None
-    number = 0
-    for level in sorted(levels):
-        largest = capacity >> level
-        todo, waiting = items.where(F.col("level") == level).select(F.col("item").alias("id"), "size"), 1
+    number = bins = 0
+    for level, waiting in sorted(levels.items()):
+        largest = capacity if not level else capacity >> (2 * level - 1)
+        todo = items.where(F.col("level") == level).select(F.col("item").alias("id"), "size")
         while gaps is not None and waiting:
-            now, todo, matched, waiting = _round(todo, gaps, largest, number)
+            now, todo, matched, waiting = _round(todo, gaps, largest, number, waiting + bins)
             number += 1
             if not matched:
                 break
-            now = cut(now)
             placed.append(now)
             used = now.groupBy(F.col("bin").alias("b")).agg(F.sum("size").alias("used"))
             gaps = cut(gaps.join(used, F.col("bin") == F.col("b"), "left").select("bin", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).where("gap > 0"))
         if waiting:
-            new = cut(_open(todo, capacity // largest, number))
+            new = cut(_open(todo, capacity, number))
             number += 1
             placed.append(new)
             fresh = new.groupBy("bin").agg((F.lit(capacity) - F.sum("size")).cast("int").alias("gap")).where("gap > 0")
             gaps = cut(fresh if gaps is None else gaps.unionByName(fresh))
+            bins = gaps.count()
         release(items.sparkSession)
     whole = items.where(F.col("size") == capacity).select(F.col("item").alias("id"), "size", F.col("item").alias("bin"), F.lit(0).alias("slot"), F.lit(0).alias("round"))
     for df in placed:
