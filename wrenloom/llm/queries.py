@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenloom.llm import bestfit, crf, decontaminate, langid, ngramjoin
+from wrenloom.llm import bestfit, crf, decontaminate, langid, ngramjoin, superkmer
 from wrenloom.llm.common import table
 
 
@@ -31,8 +31,12 @@ def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_best_fit_packing": best_fit, "op6_pii": pii, "op5_language_id": language_id, "op8_ngram_jaccard": ngram_jaccard, "op9_decontamination": decontamination}
+    return {"op4_best_fit_packing": best_fit, "op6_pii": pii, "op5_language_id": language_id, "op7_substring_dedup": substring_dedup, "op8_ngram_jaccard": ngram_jaccard, "op9_decontamination": decontamination}
 
 
 #: Words as textcodes has them, with the capitals of ASCII made small.
@@ -52,5 +56,15 @@ SELECT doc_a, doc_b, overlap, round(j, 6) AS jaccard FROM near WHERE j >= {ngram
 UNION ALL SELECT least, doc_id, len(g), 1.0::DOUBLE FROM classed WHERE doc_id > least"""
 
 
+PLAIN_WORDS = WORDS.replace("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "text")
+SUBSTRING_DEDUP = f"""
+WITH words AS (SELECT DISTINCT doc_id, {PLAIN_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+spots AS (SELECT doc_id, w, unnest(range(0, len(w) - {superkmer.WIDTH} + 1)) AS spot FROM words WHERE len(w) >= {superkmer.WIDTH}),
+windows AS (SELECT doc_id, spot, array_to_string(w[spot + 1:spot + {superkmer.WIDTH}], ' ') AS t FROM spots),
+counted AS (SELECT doc_id, spot, count(*) OVER (PARTITION BY t) AS copies, row_number() OVER (PARTITION BY t ORDER BY doc_id, spot) = 1 AS is_first FROM windows),
+several AS (SELECT *, spot - row_number() OVER (PARTITION BY doc_id, is_first ORDER BY spot) AS island FROM counted WHERE copies > 1)
+SELECT doc_id, min(spot) AS start_word, max(spot) + {superkmer.WIDTH} AS end_word, max(copies) AS copies, is_first FROM several GROUP BY doc_id, is_first, island"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_jaccard": NGRAM_JACCARD}
+    return {"op7_substring_dedup": SUBSTRING_DEDUP, "op8_ngram_jaccard": NGRAM_JACCARD}
