@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenloom.llm import bestfit, crf, decontaminate, langid, ngramjoin, superkmer
+from wrenloom.llm import bestfit, crf, decontaminate, gif, hostgraph, langid, licences, ngramjoin, sharding, superkmer
 from wrenloom.llm.common import table
 
 
@@ -35,8 +35,24 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.repeats(table(spark, sf_dir, "documents"))
 
 
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostgraph.judge(table(spark, sf_dir, "pages"))
+
+
+def gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.frames(gif.vector_media(table(spark, sf_dir, "embeddings")))
+
+
+def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_best_fit_packing": best_fit, "op6_pii": pii, "op5_language_id": language_id, "op7_substring_dedup": substring_dedup, "op8_ngram_jaccard": ngram_jaccard, "op9_decontamination": decontamination}
+    return {"op1_licence_scan": licence_scan, "op2_url_filter": url_filter, "op3_gif_frames": gif_frames, "op10_sharding": sharded, "op4_best_fit_packing": best_fit, "op6_pii": pii, "op5_language_id": language_id, "op7_substring_dedup": substring_dedup, "op8_ngram_jaccard": ngram_jaccard, "op9_decontamination": decontamination}
 
 
 #: Words as textcodes has them, with the capitals of ASCII made small.
@@ -66,5 +82,68 @@ several AS (SELECT *, spot - row_number() OVER (PARTITION BY doc_id, is_first OR
 SELECT doc_id, min(spot) AS start_word, max(spot) + {superkmer.WIDTH} AS end_word, max(copies) AS copies, is_first FROM several GROUP BY doc_id, is_first, island"""
 
 
+def _gif_sql() -> str:
+    """Frames and histograms of vector_media() computed from the vectors, without any GIF."""
+    bins = [16 * (int(r) >> 6) + 4 * (int(g) >> 6) + (int(b) >> 6) for r, g, b in gif.PALETTE]
+    hist = "list_transform(range(0, 64), lambda k: CAST(len(list_filter({}, lambda c: c >= 0 AND [" + ", ".join(map(str, bins)) + "][c + 1] = k)) AS INTEGER))"
+    rgba = "string_agg(CASE WHEN c < 0 THEN '00000000' ELSE [" + ", ".join(f"'{int(r):02X}{int(g):02X}{int(b):02X}FF'" for r, g, b in gif.PALETTE) + "][c + 1] END, '' ORDER BY i)"
+    inner = "(i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 2 AND 5)"
+    return f"""
+WITH px AS (SELECT vec_id AS id, unnest(range(0, 64)) AS i, unnest(embedding) AS v FROM embeddings WHERE len(embedding) = 64),
+q AS (SELECT id, i, CAST(least(greatest(floor((CAST(v AS DOUBLE) + 0.6) / 1.2 * 16), 0), 15) AS INTEGER) AS q FROM px),
+shown AS (SELECT id, 0 AS frame, i, q AS c FROM q
+    UNION ALL SELECT id, 1, i, CASE WHEN {inner} AND 15 - q <> 0 THEN 15 - q ELSE q END FROM q
+    UNION ALL SELECT id, 2, i, CASE WHEN i < 32 THEN 15 - q WHEN {inner} THEN -1 ELSE q END FROM q),
+screens AS (SELECT id, frame, list(c ORDER BY i) AS cs, {rgba} AS hex FROM shown GROUP BY id, frame)
+SELECT id, CAST(frame AS INTEGER) AS frame, CAST([0, 100, 150][frame + 1] AS BIGINT) AS start_ms, CAST([100, 50, 200][frame + 1] AS INTEGER) AS delay_ms,
+    CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, CAST(len(list_filter(cs, lambda c: c >= 0)) AS INTEGER) AS opaque,
+    {hist.format("cs")} AS hist, from_hex(hex) AS rgba, CAST(NULL AS VARCHAR) AS error FROM screens"""
+
+
+def _hosts_sql() -> str:
+    """judge() with its iterations unrolled."""
+    host = "nullif(lower(regexp_extract({}, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)', 1)), '')"
+    under = lambda seeds: " OR ".join(f"host = '{s}' OR ends_with(host, '.{s}')" for s in seeds)
+    d, n = hostgraph.DAMPING, hostgraph.ITERATIONS
+    steps = "".join(f"""
+r{k + 1} AS MATERIALIZED (SELECT x.host, {1 - d} * x.t + {d} * (coalesce(f.c, 0) + lost.lt * x.t) AS trust, {1 - d} * x.b + {d} * (coalesce(g.c, 0) + lost.lb * x.b) AS distrust
+    FROM base x LEFT JOIN (SELECT e.dst AS host, sum(r.trust / y.out_w * e.w) AS c FROM edges e JOIN r{k} r ON r.host = e.src JOIN base y ON y.host = e.src GROUP BY 1) f ON f.host = x.host
+    LEFT JOIN (SELECT e.src AS host, sum(r.distrust / y.in_w * e.w) AS c FROM edges e JOIN r{k} r ON r.host = e.dst JOIN base y ON y.host = e.dst GROUP BY 1) g ON g.host = x.host
+    CROSS JOIN (SELECT coalesce(sum(r.trust) FILTER (y.out_w IS NULL), 0) AS lt, coalesce(sum(r.distrust) FILTER (y.in_w IS NULL), 0) AS lb FROM r{k} r JOIN base y USING (host)) lost),""" for k in range(n))
+    return f"""
+WITH links AS (SELECT {host.format("url")} AS src, unnest(regexp_extract_all(html, 'href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href FROM pages),
+edges AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT src, {host.format("trim(href)")} AS dst FROM links) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY 1, 2),
+hosts AS (SELECT host, sum(pages)::BIGINT AS pages FROM (SELECT {host.format("url")} AS host, 1 AS pages FROM pages UNION ALL SELECT src, 0 FROM edges UNION ALL SELECT dst, 0 FROM edges) WHERE host IS NOT NULL GROUP BY 1),
+seeds AS (SELECT *, CAST({under(hostgraph.TRUSTED)} AS INTEGER)::DOUBLE AS t0, CAST({under(hostgraph.BLOCKED)} AS INTEGER)::DOUBLE AS b0 FROM hosts),
+base AS MATERIALIZED (SELECT host, pages, t0 / greatest(sum(t0) OVER (), 1) AS t, b0 / greatest(sum(b0) OVER (), 1) AS b, out_w, in_w, count(*) OVER () AS n FROM seeds
+    LEFT JOIN (SELECT src AS host, sum(w) AS out_w FROM edges GROUP BY 1) USING (host) LEFT JOIN (SELECT dst AS host, sum(w) AS in_w FROM edges GROUP BY 1) USING (host)),
+r0 AS MATERIALIZED (SELECT host, t AS trust, b AS distrust FROM base),{steps}
+final AS (SELECT b.host, pages, round(trust * n, 6) AS trust, round(distrust * n, 6) AS distrust, b.b > 0 AS seed FROM r{n} JOIN base b USING (host))
+SELECT host, pages, trust, distrust, CASE WHEN seed OR distrust >= {hostgraph.BLOCK_AT} THEN 'blocked' WHEN trust >= {hostgraph.TRUST_AT} THEN 'trusted' ELSE 'unknown' END AS verdict FROM final"""
+
+
+def _shards_sql() -> str:
+    """assign() with its rounds unrolled."""
+    s, block = sharding.SHARDS, 1 << sharding.BLOCK_BITS
+    even = f"((n + {s - 1}) // {s})"
+    steps = "".join(f"""
+a{r} AS (SELECT doc_id, shard, arg_max(there, votes * 1000000 - there) FILTER (there <> shard) AS target, max(votes) FILTER (there <> shard) AS most, coalesce(max(votes) FILTER (there = shard), 0) AS here
+    FROM (SELECT b.doc_id, h.shard, t.shard AS there, sum(b.w) AS votes FROM both_ways b JOIN h{r} h USING (doc_id) JOIN h{r} t ON t.doc_id = b.near GROUP BY 1, 2, 3) GROUP BY 1, 2),
+q{r} AS MATERIALIZED (SELECT doc_id, shard AS src, target AS dst, most - here AS gain FROM a{r} WHERE most > here AND (doc_id >> {r // 2 % 8}) % 2 = {r % 2}),
+k{r} AS (SELECT q.*, row_number() OVER (PARTITION BY src, dst ORDER BY gain DESC, doc_id) <= coalesce(f.back, 0) AS swap FROM q{r} q LEFT JOIN (SELECT src AS fs, dst AS fd, count(*) AS back FROM q{r} GROUP BY 1, 2) f ON f.fs = q.dst AND f.fd = q.src),
+x{r} AS (SELECT doc_id, dst, row_number() OVER (PARTITION BY dst ORDER BY gain DESC, doc_id) AS place FROM k{r} WHERE NOT swap),
+m{r} AS (SELECT doc_id, dst FROM k{r} WHERE swap UNION ALL SELECT doc_id, dst FROM x{r} LEFT JOIN (SELECT shard, count(*) AS size FROM h{r} GROUP BY 1) z ON z.shard = dst CROSS JOIN room WHERE place <= most - coalesce(size, 0)),
+h{r + 1} AS MATERIALIZED (SELECT doc_id, coalesce(dst, shard) AS shard FROM h{r} LEFT JOIN m{r} USING (doc_id)),""" for r in range(sharding.ROUNDS))
+    return f"""
+WITH rows AS (SELECT DISTINCT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents WHERE doc_id IS NOT NULL),
+chains AS (SELECT doc_id, line, doc_id // {block} AS block, lag(doc_id) OVER (PARTITION BY line, doc_id // {block} ORDER BY doc_id) AS before FROM rows WHERE length(line) >= {sharding.LEAST_LINE}),
+pairs AS (SELECT before, doc_id FROM chains WHERE before IS NOT NULL UNION ALL SELECT before, doc_id FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY line ORDER BY doc_id) AS before FROM chains WHERE before IS NULL) WHERE before IS NOT NULL),
+links AS (SELECT before AS a, doc_id AS b, count(*) AS w FROM pairs GROUP BY 1, 2),
+both_ways AS MATERIALIZED (SELECT a AS doc_id, b AS near, w FROM links UNION ALL SELECT b, a, w FROM links),
+h0 AS MATERIALIZED (SELECT doc_id, CAST((doc_id % {s} + {s}) % {s} AS INTEGER) AS shard FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+room AS (SELECT {even} + CAST(floor({even} * {sharding.SLACK} + 1e-9) AS BIGINT) AS most FROM (SELECT count(*) AS n FROM h0)),{steps.rstrip(",")}
+SELECT doc_id, shard FROM h{sharding.ROUNDS}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": SUBSTRING_DEDUP, "op8_ngram_jaccard": NGRAM_JACCARD}
+    return {"op2_url_filter": _hosts_sql(), "op3_gif_frames": _gif_sql(), "op10_sharding": _shards_sql(), "op7_substring_dedup": SUBSTRING_DEDUP, "op8_ngram_jaccard": NGRAM_JACCARD}
