@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN")
 TAGS = ("O",) + tuple(f"{p}-{k}" for k in KINDS for p in "BI")
 SEED, SENTENCES, EPOCHS, STEP, RIDGE = 11, 450, 160, 0.25, 2e-4
+#: Words whose features a worker remembers; cells (words, with padding) of the chains that are decoded at once. Both bound memory, not results.
+REMEMBERED, CELLS = 8_192, 100_000
 _EDGE = "\"'`()[]{}<>#$%&*!?,.;:|~^\\/"
 _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 _RUNS = re.compile(r"[A-Za-z\u0080-\U0010ffff]+|[0-9]+|.", re.S)
@@ -47,7 +49,7 @@ def core(word: str) -> tuple[int, int]:
     return (a, b) if a < b else (0, len(word))
 
 
-@lru_cache(200_000)
+@lru_cache(REMEMBERED)
 def shape(word: str) -> tuple[str, ...]:
     """Features of a word by itself."""
     a, b = core(word)
@@ -69,7 +71,7 @@ def shape(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-@lru_cache(200_000)
+@lru_cache(REMEMBERED)
 def brief(word: str) -> str:
     """What a word's neighbours see of it."""
     s = shape(word)
@@ -168,7 +170,7 @@ class Crf:
             if row is None:
                 ids = [self.index[f] for f in _features(*key) if f in self.index]
                 row = self.weights[ids].sum(0)
-                if len(self._memo) < 100_000:
+                if len(self._memo) < REMEMBERED:
                     self._memo[key] = row
             out[t] = row
         return out
@@ -273,8 +275,12 @@ def viterbi(crf: Crf, chains: list[np.ndarray], open_start: list[bool], open_end
     """The best tags of each chain of emissions, chains of like length at once. Ends that aren't open are O; ties go to the first tag."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
     order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: len(chains[i]))
-    for at in range(0, len(order), 256):
-        ids = order[at : at + 256]
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * len(chains[order[to]]) <= CELLS:
+            to += 1
+        ids, at = order[at:to], to
         longest = len(chains[ids[-1]])
         k = len(TAGS)
         e = np.zeros((len(ids), longest, k))
