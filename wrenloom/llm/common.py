@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,17 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         time.sleep(0.2)
         spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """In a Python worker: give memory that nothing uses any more back to the system. Workers live on between tasks, and the allocator keeps what was freed."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # not glibc: its allocator decides alone
+    _LIBC = None

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenloom.llm.common import cut, fragments, release, sized
+from wrenloom.llm.common import cut, fragments, release, sized, trim
 from wrenloom.llm.packing_codec import joined, pack
 from wrenloom.llm.textcodes import Words, grams, mix, pieces, string_buffers
 
@@ -138,8 +138,11 @@ def sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
                     ids, sizes, codes, held = [], [], [], 0
         if held:
             yield from flush()
+        ids, sizes, codes = [], [], []
+        trim()
 
     def shared(key: tuple, cells: pa.Table) -> pa.Table:
+        trim()  # of the group before
         part = key[0].as_py()
         kinds, data = cells.column("kind").to_pylist(), cells.column("cell").to_pylist()
         ids, counts, low, high = joined([c for c, k in zip(data, kinds) if k == 0], "i8", "u4", "u4", "u1")
@@ -173,6 +176,7 @@ def sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
         return pa.table([pa.array(there + [p for p, _ in on], pa.int32()), pa.array([part << 1] * len(there) + [1] * len(on), pa.int32()), pa.array(out + [c for _, (_, c) in on], pa.binary())], schema=_PARTS)
 
     def ordered(cells: pa.Table) -> pa.Table:
+        trim()
         kinds, data = cells.column("kind").to_pylist(), cells.column("cell").to_pylist()
         ids, sizes = joined([c for c, k in zip(data, kinds) if k == 1], "i8", "u4")
         at = np.lexsort((sizes, ids))
@@ -227,6 +231,7 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32()), ("n", pa.int32())])
 
     def pairs(cells: pa.Table) -> pa.Table:
+        trim()
         ids, counts, low, high, sizes = joined(cells.column("cell").to_pylist(), "i8", "u4", "u4", "u1", "u4")
         code, sizes = (high.astype(np.uint64) << np.uint64(32)) + low, sizes.astype(np.int64)
         docs, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
@@ -283,6 +288,7 @@ def overlaps(pairs: DataFrame, reps: DataFrame, many: int = FRAGMENTS) -> DataFr
     def count(two: pa.Table, segs: pa.Table) -> pa.Table:
         if not two.num_rows:
             return schema.empty_table()
+        trim()
         two = two.combine_chunks()
         docs = segs.column("doc_id").to_numpy()
         lists = segs.column("seg").combine_chunks()
