@@ -55,6 +55,17 @@ def test_near_pairs(spark, seed, n, threshold):
     assert sorted(map(str, ids)) == sorted(map(str, brute.kept_of_near(rows, n, threshold)))
 
 
+def test_contained_texts_are_near(spark):
+    """Each pair is a text and the same text with words after it, shared with nobody else, down to the threshold."""
+    rows = []
+    for k, (small, large) in enumerate([(100, 101), (100, 150), (100, 179), (100, 200), (100, 250), (100, 285), (100, 286), (35, 100), (7, 20)]):
+        w = [f"p{k}w{i}" for i in range(large + 4)]
+        rows += [(2 * k, " ".join(w[: small + 4])), (2 * k + 1, " ".join(w))]
+    got = {(r["doc_a"], r["doc_b"]): (r["overlap"], r["jaccard"]) for r in ngramjoin.join(frame(spark, rows)).collect()}
+    assert got == brute.near_pairs(rows, ngramjoin.N, ngramjoin.THRESHOLD)
+    assert got[6, 7] == (100, 0.5) and len(got) == 8
+
+
 def test_near_pairs_of_nothing(spark):
     for rows in ([], [(None, "a b c")], [(1, None), (2, "")]):
         df = frame(spark, rows)

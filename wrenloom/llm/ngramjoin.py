@@ -265,7 +265,7 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     partial = reps.select("doc_id", "size", "codes").mapInArrow(prefixes, _PARTS_SQL).groupBy("part").applyInArrow(pairs, "a bigint, b bigint, size_a int, size_b int, n int")
     least = lambda c: F.ceil(c * threshold - 1e-9)
-    bound = F.col("n") + F.least(least(F.col("size_a")), least(F.col("size_b"))) - 1
+    bound = F.col("n") + F.greatest(least(F.col("size_a")), least(F.col("size_b"))) - 1  # the prefix that ends first may be either's
     return partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n")).where(bound >= F.ceil(threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9)).drop("n")
 
 
