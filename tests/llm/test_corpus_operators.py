@@ -213,6 +213,32 @@ def test_packing_cases(spark):
         bestfit.pack(df, 0)
 
 
+def test_items_of_a_class_share_bins_by_best_fit(spark):
+    """Two sizes of one class in many partitions: 700 + 700 + 600 fits, and next fit takes a bin for each two or three of a size."""
+    docs = [(i, "w " * (700 if i % 2 else 600)) for i in range(600)]
+    rows = bestfit.pack(frame(spark, docs).repartition(4)).collect()
+    assert brute.check_packing(rows, docs, 2048) == brute.best_fit_bins([700, 600] * 300, 2048) == 200
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60), st.integers(40, 90))
+def test_best_fit_by_counts_is_best_fit(sizes, capacity):
+    counts = {s: sizes.count(s) for s in sizes}
+    rows, bins = sorted(bestfit.best_fit(counts, capacity)), {}
+    for s, n in counts.items():
+        mine = [r for r in rows if r[0] == s]
+        for k in range(n):
+            _, first, low, per, place = [r for r in mine if r[1] <= k][-1]
+            bins.setdefault(low + (k - first) // per, []).append((place + (k - first) % per * s, s))
+    for spots in bins.values():
+        at = 0
+        for place, s in sorted(spots):
+            assert place == at
+            at += s
+        assert at <= capacity
+    assert sorted(bins) == list(range(brute.best_fit_bins(sizes, capacity)))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4)), max_size=8))
 def test_sweep_across_partitions_is_one_stack(left):

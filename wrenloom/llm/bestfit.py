@@ -11,21 +11,25 @@ half the capacity, then those over an eighth, a thirty-second and so on. A class
   "slots 10-19 left over in partition 7 take items 0-9 left over in partition 5". Ties and conflicts are settled by that rank alone.
 * Gaps shrink by what they took, and the class sweeps again, until a round places nothing.
 
-Items of the class that fit nowhere then open bins, filled by falling size partition by partition. A round places as many items as any
-matching of items to slots could, so a class needs few rounds, and there are about log4(capacity) + 1 classes, whatever the number
-of documents.
+Items of the class that fit nowhere then open bins, by best fit over falling sizes: which item shares a bin with which depends only on how many
+there are of each size, so the driver lays out bins for these counts (no more than there are sizes below the capacity), and an item finds its place by its
+rank among those of its size. A round places as many items as any matching of items to slots could, so a class needs few rounds, and
+there are about log4(capacity) + 1 classes, whatever the number of documents.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenloom.llm.common import cut, fragments, release
+from wrenloom.llm.common import cut, fragments, release, sized
 
 CAPACITY = 2048
 #: A sweep uses a partition for so many rows, and no more partitions than the session's shuffles have.
@@ -132,22 +136,70 @@ def _round(todo: DataFrame, gaps: DataFrame, largest: int, number: int, rows: in
     return placed.withColumn("round", F.lit(number)), todo.select("id", "size"), matched, waiting
 
 
-def _open(todo: DataFrame, capacity: int, number: int) -> DataFrame:
-    """Bins for the items of todo: each partition fills one after the other by falling size. A bin has the number of its first item."""
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit by falling size into new bins, for so many items of each size: rows (size, first, bin, per, place), up to the next row of its size.
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used, first, slot = capacity, 0, 0
+    The item of rank r among those of its size, from a row's first on, goes to bin + (r - first) // per, at place + (r - first) % per * size.
+    Bins count from 0. Bins with the same gap are taken together, so the work and the rows depend on the number of sizes and not of items.
+    """
+    spans: dict[int, list[tuple[int, int]]] = {}  # bins from, to, by gap
+    order: list[int] = []
+    bins, rows = 0, []
+
+    def add(gap: int, low: int, high: int) -> None:
+        if gap and low < high:
+            if gap not in spans:
+                insort(order, gap)
+            spans.setdefault(gap, []).append((low, high))
+
+    for size in sorted(counts, reverse=True):
+        at, left = 0, counts[size]
+        while left:
+            k = bisect_left(order, size)
+            if k < len(order):
+                gap = order[k]
+                low, high = spans[gap].pop()
+                if not spans[gap]:
+                    del spans[gap], order[k]
+            else:
+                gap, low = capacity, bins
+                high = bins = bins - left // -(capacity // size)
+            for per in (gap // size, left % (gap // size)):  # full bins, then one with what is left
+                many = min(high - low, left // per) if per else 0
+                if many:
+                    rows.append((size, at, low, per, capacity - gap))
+                    add(gap - per * size, low, low + many)
+                    at, left, low = at + many * per, left - many * per, low + many
+            add(gap, low, high)
+    return rows
+
+
+def _open(todo: DataFrame, capacity: int, number: int, start: int) -> tuple[DataFrame, int]:
+    """Bins for the items of todo, which fit in no gap, by best_fit(): the items placed, and the first number after the bins'. start: the first bin's number."""
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, seen = TaskContext.get().partitionId(), Counter()
+        for rows in batches:
+            before = rows["size"].map(lambda s: seen[s]).astype("int64")
+            yield rows.assign(part=part, at=before + rows.groupby("size").cumcount())
+            seen.update(rows["size"].value_counts().to_dict())
+
+    ranked = cut(todo.select("id", "size").mapInPandas(rank, "id bigint, size int, part int, at bigint"))
+    counts = cut(ranked.groupBy("size", "part").agg(F.count("*").alias("n")))
+    before = F.expr("coalesce(sum(n) over (partition by size order by part rows between unbounded preceding and 1 preceding), 0)")
+    firsts = counts.select("size", "part", before.alias("before"))
+    table = np.array(sorted(best_fit({r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}, capacity)), np.int64).reshape(-1, 5)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = (table[:, 0] << 40) + table[:, 1]
         for rows in batches:
-            bins, slots = [], []
-            for i, size in zip(rows["id"].tolist(), rows["size"].tolist()):
-                if used + size > capacity:
-                    used, first, slot = 0, i, 0
-                bins.append(first)
-                slots.append(slot)
-                used, slot = used + size, slot + 1
-            yield pd.DataFrame({"id": rows["id"], "size": rows["size"], "bin": pd.Series(bins, dtype="int64"), "slot": pd.Series(slots, dtype="int32"), "round": pd.Series([number] * len(bins), dtype="int32")})
+            size, at = rows["size"].to_numpy(np.int64), rows["at"].to_numpy(np.int64)
+            _, first, low, per, spot = table[np.searchsorted(keys, (size << 40) + at, "right") - 1].T
+            yield pd.DataFrame({"id": rows["id"], "size": rows["size"], "bin": start + low + (at - first) // per, "slot": (spot + (at - first) % per * size).astype(np.int32), "round": np.full(len(rows), number, np.int32)})
 
-    return todo.sortWithinPartitions(F.desc("size"), "id").mapInPandas(fill, "id bigint, size int, bin bigint, slot int, round int")
+    placed = ranked.join(sized(firsts, counts.count()), ["size", "part"]).select("id", "size", (F.col("at") + F.col("before")).alias("at"))
+    done = cut(placed.mapInPandas(place, "id bigint, size int, bin bigint, slot int, round int"))
+    return done, (done.agg(F.max("bin")).first()[0] or start) + 1
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -165,6 +217,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed: list[DataFrame] = []
     gaps: DataFrame | None = None
     number = bins = 0
+    start = (items.agg(F.max("item")).first()[0] or 0) + 1  # bins of whole pieces have the piece's number
     for level, waiting in sorted(levels.items()):
         largest = capacity if not level else capacity >> (2 * level - 1)
         todo = items.where(F.col("level") == level).select(F.col("item").alias("id"), "size")
@@ -177,7 +230,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             used = now.groupBy(F.col("bin").alias("b")).agg(F.sum("size").alias("used"))
             gaps = cut(gaps.join(used, F.col("bin") == F.col("b"), "left").select("bin", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).where("gap > 0"))
         if waiting:
-            new = cut(_open(todo, capacity, number))
+            new, start = _open(todo, capacity, number, start)
             number += 1
             placed.append(new)
             fresh = new.groupBy("bin").agg((F.lit(capacity) - F.sum("size")).cast("int").alias("gap")).where("gap > 0")
