@@ -272,6 +272,11 @@ def test_licences_over_the_documents(spark, small):
     assert any(v[2] for v in got.values())
 
 
+@pytest.mark.parametrize("text", ["Some text.\nAll rights reserved.\nMore text.", "All rights reserved. Proprietary and confidential", "# ALL RIGHTS\n# RESERVED."])
+def test_reserved_rights_are_a_notice(text):
+    assert licences.scan(text) == (["proprietary"], [], 1, "restricted")
+
+
 def test_licence_cases(spark):
     rows = [(1, "Licensed under CC BY 4.0.", "en"), (2, None, "en"), (3, "", "en"), (None, "SPDX-License-Identifier: BUSL-1.1", "en"), (1, "Licensed under CC BY 4.0.", "en"), (6, "word " * 200_000 + "released under the MIT license", "en"), (7, "SPDX-License-Identifier: MIT AND", "en"), (8, "all rights reserved", None)]
     df = clashing(spark, rows)

@@ -53,7 +53,7 @@ NOTICES = {
     "creative commons attribution-noncommercial 4.0": "cc-by-nc-4.0",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "business source license 1.1": "busl-1.1",
-    "all rights reserved. proprietary and confidential": "proprietary",
+    "all rights reserved.": "proprietary",  # also before "proprietary and confidential", as one hit
 }
 SCHEMA = "doc_id bigint, licences array<string>, expressions array<string>, hits int, category string, allowed boolean"
 _PIECE = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.\-+:]*)")
