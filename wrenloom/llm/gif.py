@@ -257,7 +257,8 @@ def encode(width: int, height: int, palette: np.ndarray, images: list[Image]) ->
 def frames(media: DataFrame) -> DataFrame:
     """media: (id, gif). A row for each frame: id, frame number from 0, start and delay in ms, screen size, opaque pixels, colour histogram, RGBA pixels.
 
-    Null media have no rows. Bytes that can't be read, empty ones included, have one row with frame null and the reason in error. A null id stays null;
+    Null media have no rows. Bytes that can't be read, empty ones included, and GIFs whose screen or an image has more than 2**26
+    pixels have one row with frame null and the reason in error. A null id stays null;
     repeated rows give their frames each. A GIF without images has no rows. Other columns are ignored. An empty table: empty result.
     """
 
