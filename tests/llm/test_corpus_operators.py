@@ -95,6 +95,15 @@ def test_repeated_runs(spark, seed, width, kmer):
     assert set(map(tuple, got)) == brute.repeated_runs(list(dict.fromkeys(rows)), width)
 
 
+@pytest.mark.parametrize("seed, bucket, hot, places", [(1, 3000, 2000, 3), (5, 500, 1, 1), (6, 100_000, 20_000, 100)])
+def test_crowded_buckets(spark, seed, bucket, hot, places):
+    """Windows of buckets over `hot` bytes are counted one by one; the result is the same."""
+    rows = corpus(seed) + ODD
+    got = superkmer.repeats(clashing(spark, [(i, t, "en") for i, t in rows]), 12, 4, bucket, hot, places).collect()
+    assert len(set(map(tuple, got))) == len(got)
+    assert set(map(tuple, got)) == brute.repeated_runs(list(dict.fromkeys(rows)), 12)
+
+
 def test_repeats_of_nothing(spark):
     for rows in ([], [(1, None)], [(1, ""), (2, "short")]):
         assert superkmer.repeats(frame(spark, rows)).count() == 0

@@ -4,10 +4,16 @@ A window is `width` words in a row. Its minimiser is the least code among the ru
 minimiser travel as one packed string, their words joined by single spaces, to the minimiser's bucket; equal windows have equal
 minimisers, so they meet there. A bucket hashes its windows, sorts the hashes, and compares the texts of windows with equal hashes, so that
 counts are exact. A string of n windows costs n + width - 1 words, some three times the text in all; no window is left out.
+
+Buckets are as many as the bytes of the text ask for, so that one has some BUCKET bytes however large the table is. A minimiser that many texts
+have in common may still fill one: the bytes of all buckets are counted beforehand, and the windows of those over HOT go by their own
+two 64-bit hashes instead, in JVM aggregations with partial results before the shuffle, and back to their places in a join in which windows
+of many places are broadcast. For these alone, equal means equal in 128 bits.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenloom.llm.common import fragments
+from wrenloom.llm.common import cut, fragments, sized, trim
 from wrenloom.llm.packing_codec import joined, pack
-from wrenloom.llm.textcodes import Words, grams, pieces, powers, string_buffers
+from wrenloom.llm.textcodes import Words, grams, mix, pieces, powers, string_buffers
 
 WIDTH, SEED = 50, 8
 #: Bytes of strings that a mapper gathers before it sends them out, and that a bucket hashes at a time.
-BLOCK, CHUNK = 24_000_000, 1_500_000
+BLOCK, CHUNK = 16_000_000, 1_500_000
+#: Bytes of strings in a usual bucket; the most in any bucket, beyond which its windows are counted one by one; bytes of strings a byte of text, about.
+BUCKET, HOT, GROWTH = 8_000_000, 64_000_000, 4
+#: Windows of more places than this are few, and go to their places by broadcast.
+PLACES = 100_000
 _BASE = 0xC2B2AE3D27D4EB4F | 1
-_CELLS = "part int, cell binary"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("first", pa.bool_())])
 
 
@@ -149,7 +158,48 @@ def repeated_windows(cells: list[bytes], width: int) -> pa.Table:
     return pa.table([pa.array(doc[head]), pa.array(place[head]), pa.array(size.astype(np.int64)), pa.array(np.maximum.reduceat(copies, head).astype(np.int64)), pa.array(first[head])], schema=_SCHEMA)
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def _hot(plain: DataFrame, width: int, seed: int, parts: int, hot: int) -> np.ndarray:
+    """The buckets, in order, whose strings have more than `hot` bytes. They are at most all strings' bytes divided by `hot`."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                w = Words(*string_buffers(piece.column("text")))
+                at, n, least = strings(w, width, seed)
+                part, inverse = np.unique((least % np.uint64(parts)).astype(np.int64), return_inverse=True)
+                size = np.bincount(inverse, weights=(w.end[at + n + width - 2] - w.start[at]).astype(float), minlength=len(part)) if len(at) else part
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(size.astype(np.int64), pa.int64())], names=["part", "bytes"])
+
+    loads = plain.mapInArrow(weigh, "part bigint, bytes bigint").groupBy("part").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > hot)
+    return np.array(sorted(r.part for r in loads.select("part").collect()), np.int64)
+
+
+def _single(plain: DataFrame, width: int, seed: int, parts: int, hot: np.ndarray, places: int) -> DataFrame:
+    """Repeated windows of the buckets `hot`: (doc_id, at, n = 1, copies, first)."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                w = Words(*string_buffers(piece.column("text")))
+                first, n, least = strings(w, width, seed)
+                mine = np.isin((least % np.uint64(parts)).astype(np.int64), hot)
+                first, n = first[mine], n[mine]
+                if len(first):
+                    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    one, two = _rolling(w.code, width)[at], _rolling(mix(w.code ^ np.uint64(_BASE)), width)[at]
+                    row = w.row[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), piece.column("doc_id").take(pa.array(row)), pa.array(at - w.first[row])], names=["h", "h2", "doc_id", "at"])
+
+    spots = cut(plain.mapInArrow(windows, "h bigint, h2 bigint, doc_id bigint, at bigint").distinct())
+    counted = cut(spots.groupBy("h", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "at")).alias("head")).where("copies > 1"))
+    many, few = counted.where(F.col("copies") > places), counted.where(F.col("copies") <= places)
+    wide = sized(many, many.count())
+    rest = spots.join(wide.select("h", "h2"), ["h", "h2"], "left_anti")
+    marked = spots.join(wide, ["h", "h2"]).unionByName(rest.join(few, ["h", "h2"]))
+    return marked.select("doc_id", "at", F.lit(1).cast("bigint").alias("n"), "copies", (F.struct("doc_id", "at") == F.col("head")).alias("first"))
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int = BUCKET, hot: int = HOT, places: int = PLACES) -> DataFrame:
     """(doc_id, start_word, end_word, copies, is_first): maximal runs of windows that occur at two places or more.
 
     The words [start_word, end_word) of the document are covered by such windows. is_first tells that each of the run's windows is at its first
@@ -159,52 +209,60 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     at the same place in both is at one place. Words are compared byte for byte, blanks between them not at all. Other columns are
     ignored. An empty table gives an empty result.
     """
-    parts = fragments(docs.sparkSession)
+    plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    volume = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(fragments(docs.sparkSession), -(-GROWTH * volume // bucket))
+    crowded = _hot(plain, width, seed, parts, hot) if width * volume > hot else np.zeros(0, np.int64)  # a word is in `width` strings at most
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple]] = [[] for _ in range(parts)]
+        held: dict[int, list[tuple]] = defaultdict(list)
         size = 0
 
         def flush() -> pa.RecordBatch:
-            to = [p for p in range(parts) if held[p]]
+            to = sorted(held)
             cells = []
             for p in to:
-                cells.append(pack(*[np.concatenate([x[c] for x in held[p]]) for c in range(4)], np.frombuffer(b"".join([x[4] for x in held[p]]), np.uint8)))
-                held[p].clear()
-            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(cells, pa.binary())], names=["part", "cell"])
+                x = held.pop(p)
+                cells.append(pack(*[np.concatenate([y[c] for y in x]) for c in range(4)], np.frombuffer(b"".join([y[4] for y in x]), np.uint8)))
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(cells, pa.binary())], names=["part", "cell"])
 
         for batch in batches:
             for piece in pieces(batch, "text"):
                 w = Words(*string_buffers(piece.column("text")))
                 at, n, least = strings(w, width, seed)
+                part = (least % np.uint64(parts)).astype(np.int64)
+                if len(crowded):
+                    usual = ~np.isin(part, crowded)
+                    at, n, part = at[usual], n[usual], part[usual]
                 if not len(at):
                     continue
                 spaced, start = single_spaced(w)
                 raw = spaced.tobytes()
-                part = (least % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+                order = np.argsort(part, kind="stable")
                 at, n, part = at[order], n[order], part[order]
                 a, b = start[at], start[at + n + width - 1] - 1
                 ids = piece.column("doc_id").to_numpy()[w.row[at]]
                 pos = (at - w.first[w.row[at]]).astype(np.uint32)
                 sizes = (b - a).astype(np.uint32)
-                bounds = np.searchsorted(part, np.arange(parts + 1)).tolist()
+                there, heads = np.unique(part, return_index=True)
                 i, j = a.tolist(), b.tolist()
-                for p in np.unique(part).tolist():
-                    x, y = bounds[p], bounds[p + 1]
+                for p, x, y in zip(there.tolist(), heads.tolist(), [*heads[1:].tolist(), len(part)]):
                     held[p].append((ids[x:y], pos[x:y], n[x:y].astype(np.uint32), sizes[x:y], b"".join([raw[s:e] for s, e in zip(i[x:y], j[x:y])])))
                 size += int(sizes.sum())
                 if size > BLOCK:
                     yield flush()
                     size = 0
-        if size:
+        if held:
             yield flush()
+        trim()
 
     def count(cells: pa.Table) -> pa.Table:
+        trim()  # of the bucket before
         return repeated_windows(cells.column("cell").to_pylist(), width)
 
-    plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    found = plain.mapInArrow(cut_up, _CELLS).groupBy("part").applyInArrow(count, "doc_id bigint, at bigint, n bigint, copies bigint, first boolean")
+    found = plain.mapInArrow(cut_up, "part bigint, cell binary").groupBy("part").applyInArrow(count, "doc_id bigint, at bigint, n bigint, copies bigint, first boolean")
+    if len(crowded):
+        found = found.unionByName(_single(plain, width, seed, parts, crowded, places))
     islands = found.withColumn("new", F.expr("coalesce(lag(at + n) over (partition by doc_id, first order by at) <> at, true)")).withColumn("island", F.expr("sum(int(new)) over (partition by doc_id, first order by at)"))
     runs = islands.groupBy("doc_id", "first", "island").agg(F.min("at").alias("start_word"), (F.max(F.col("at") + F.col("n")) + width - 1).alias("end_word"), F.max("copies").alias("copies"))
     return runs.select("doc_id", "start_word", "end_word", "copies", F.col("first").alias("is_first"))
