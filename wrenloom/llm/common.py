@@ -55,6 +55,21 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, most: int = 100_000) -> DataFrame:
+    """Inner join of rows with keyed, which has one row a key and in `weight` how many of the rows have it.
+
+    Keys of more than `most` rows are at most the rows divided by that; they are counted and go by broadcast, so that no task gets all
+    rows of such a key. The other keys are shuffled. keyed should be cheap to read again.
+    """
+    many = keyed.where(F.col(weight) > most)
+    count = many.count()
+    if not count:
+        return rows.join(keyed, keys)
+    wide = sized(many, count)
+    rest = rows.join(wide.select(*keys), keys, "left_anti").join(keyed.where(F.col(weight) <= most), keys)
+    return rows.join(wide, keys).unionByName(rest)
+
+
 def fragments(spark: SparkSession) -> int:
     """How many partitions a hand-made shuffle uses: those of the session's own shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

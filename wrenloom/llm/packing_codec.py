@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -24,3 +25,13 @@ def joined(cells: list[bytes], *kinds: str) -> list[np.ndarray]:
     """unpack() of several cells, end to end."""
     parts = [unpack(c, *kinds) for c in cells]
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
+
+
+def squeezed(cell: bytes) -> bytes:
+    """The cell compressed with zstd, which takes prose to far less than the codec of Spark's shuffles does."""
+    return len(cell).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(cell, asbytes=True)
+
+
+def loosened(cell: bytes) -> bytes:
+    """What squeezed() compressed."""
+    return pa.decompress(memoryview(cell)[8:], decompressed_size=int.from_bytes(cell[:8], "little"), codec="zstd", asbytes=True)

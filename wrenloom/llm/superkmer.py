@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenloom.llm.common import cut, fragments, sized, trim
-from wrenloom.llm.packing_codec import joined, pack
+from wrenloom.llm.common import cut, fragments, heavy_join, trim
+from wrenloom.llm.packing_codec import joined, loosened, pack, squeezed
 from wrenloom.llm.textcodes import Words, grams, mix, pieces, powers, string_buffers
 
 WIDTH, SEED = 50, 8
 #: Bytes of strings that a mapper gathers before it sends them out, and that a bucket hashes at a time.
 BLOCK, CHUNK = 16_000_000, 1_500_000
 #: Bytes of strings in a usual bucket; the most in any bucket, beyond which its windows are counted one by one; bytes of strings a byte of text, about.
-BUCKET, HOT, GROWTH = 8_000_000, 64_000_000, 4
+BUCKET, HOT, GROWTH = 8_000_000, 48_000_000, 4
 #: Windows of more places than this are few, and go to their places by broadcast.
 PLACES = 100_000
 _BASE = 0xC2B2AE3D27D4EB4F | 1
@@ -97,8 +97,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def repeated_windows(cells: list[bytes], width: int) -> pa.Table:
-    """Of one bucket's strings: maximal stretches, within a string, of windows that occur at two places or more and are alike first ones or later ones."""
+    """Of one bucket's strings: maximal stretches, within a string, of windows that occur at two places or more and are alike first ones or later ones.
+
+    Empties the list of cells, as a bucket's bytes shouldn't be held twice.
+    """
     ids, pos, many, sizes, text = joined(cells, "i8", "u4", "u4", "u4", "u1")
+    cells.clear()
+    spot = np.uint32 if len(text) < 1 << 32 else np.int64
     ends = np.cumsum(sizes.astype(np.int64))
     begins = ends - sizes
     hashes, owners, froms, tos = [], [], [], []
@@ -112,36 +117,37 @@ def repeated_windows(cells: list[bytes], width: int) -> pa.Table:
             inside = np.flatnonzero(w.row[: len(h)] == w.row[width - 1 :])
             hashes.append(h[inside])
             owners.append((at + w.row[inside]).astype(np.int32))
-            froms.append(w.start[inside] + low)
-            tos.append(w.end[inside + width - 1] + low)
+            froms.append((w.start[inside] + low).astype(spot))
+            tos.append((w.end[inside + width - 1] + low).astype(spot))
         at = to
     if not hashes:
         return _SCHEMA.empty_table()
     h, owner, a, b = np.concatenate(hashes), np.concatenate(owners), np.concatenate(froms), np.concatenate(tos)
     del hashes, owners, froms, tos
     # within a string, windows are in order: a window's place is the string's place plus its rank in the string
-    start = np.searchsorted(owner, np.arange(len(ids)))
-    place = pos[owner].astype(np.int64) + np.arange(len(h)) - start[owner]
-    order = np.argsort(h, kind="stable")
+    start = np.searchsorted(owner, np.arange(len(ids), dtype=np.int32))
+    order = np.argsort(h, kind="stable").astype(spot)
     ranked = h[order]
     same = np.concatenate([[False], ranked[1:] == ranked[:-1]])
     often = same.copy()
     often[:-1] |= same[1:]
     pick = order[often]
-    h, owner, a, b, place = h[pick], owner[pick], a[pick], b[pick], place[pick]
+    del order, ranked, same, often
+    h, owner, a, b = h[pick], owner[pick], a[pick], b[pick]
+    place = pos[owner].astype(np.int64) + pick - start[owner]
     doc = ids[owner]
     order = np.lexsort((place, doc, h))
     h, owner, a, b, place, doc = h[order], owner[order], a[order], b[order], place[order], doc[order]
     fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]) if len(h) else np.zeros(0, bool)
     h, owner, a, b, place, doc = h[fresh], owner[fresh], a[fresh], b[fresh], place[fresh], doc[fresh]  # repeated rows aren't repeats
-    raw, i, j = text.tobytes(), a.tolist(), b.tolist()
+    raw, i, j = memoryview(text), a.tolist(), b.tolist()
     new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     unlike = [k for k in np.flatnonzero(~new).tolist() if raw[i[k] : j[k]] != raw[i[k - 1] : j[k - 1]]]
     if unlike:  # two texts with one hash: group these by their texts
         extra: dict[tuple[int, bytes], int] = {}
         for k in np.flatnonzero(np.isin(group, group[unlike])).tolist():
-            group[k] = extra.setdefault((int(group[k]), raw[i[k] : j[k]]), len(h) + len(extra))
+            group[k] = extra.setdefault((int(group[k]), bytes(raw[i[k] : j[k]])), len(h) + len(extra))
     _, inverse, copies = np.unique(group, return_inverse=True, return_counts=True)
     copies = copies[inverse] if len(h) else np.zeros(0, np.int64)
     order = np.lexsort((place, doc, group))
@@ -192,10 +198,7 @@ def _single(plain: DataFrame, width: int, seed: int, parts: int, hot: np.ndarray
 
     spots = cut(plain.mapInArrow(windows, "h bigint, h2 bigint, doc_id bigint, at bigint").distinct())
     counted = cut(spots.groupBy("h", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "at")).alias("head")).where("copies > 1"))
-    many, few = counted.where(F.col("copies") > places), counted.where(F.col("copies") <= places)
-    wide = sized(many, many.count())
-    rest = spots.join(wide.select("h", "h2"), ["h", "h2"], "left_anti")
-    marked = spots.join(wide, ["h", "h2"]).unionByName(rest.join(few, ["h", "h2"]))
+    marked = heavy_join(spots, counted, ["h", "h2"], "copies", places)
     return marked.select("doc_id", "at", F.lit(1).cast("bigint").alias("n"), "copies", (F.struct("doc_id", "at") == F.col("head")).alias("first"))
 
 
@@ -223,7 +226,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int =
             cells = []
             for p in to:
                 x = held.pop(p)
-                cells.append(pack(*[np.concatenate([y[c] for y in x]) for c in range(4)], np.frombuffer(b"".join([y[4] for y in x]), np.uint8)))
+                cells.append(squeezed(pack(*[np.concatenate([y[c] for y in x]) for c in range(4)], np.frombuffer(b"".join([y[4] for y in x]), np.uint8))))
             return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(cells, pa.binary())], names=["part", "cell"])
 
         for batch in batches:
@@ -258,7 +261,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int =
 
     def count(cells: pa.Table) -> pa.Table:
         trim()  # of the bucket before
-        return repeated_windows(cells.column("cell").to_pylist(), width)
+        return repeated_windows([loosened(c) for c in cells.column("cell").to_pylist()], width)
 
     found = plain.mapInArrow(cut_up, "part bigint, cell binary").groupBy("part").applyInArrow(count, "doc_id bigint, at bigint, n bigint, copies bigint, first boolean")
     if len(crowded):
