@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from test_text_operators import clashing
 
 from wrenloom.llm import bestfit, decontaminate, gif, hostgraph, ngramjoin, sharding, superkmer
@@ -55,6 +56,40 @@ def test_near_pairs(spark, seed, n, threshold):
     assert sorted(map(str, ids)) == sorted(map(str, brute.kept_of_near(rows, n, threshold)))
 
 
+@pytest.mark.parametrize("seed, n, threshold, local, common, partitions", [(5, 5, 0.35, 2, 3, 4), (6, 2, 0.5, 1, 1, 4), (7, 3, 0.4, 32, 20_000, 4096), (8, 3, 0.4, 2, 2, 70_000)])
+def test_common_grams_and_many_ranges(spark, monkeypatch, seed, n, threshold, local, common, partitions):
+    """n-grams that go round the counting tasks, pairs sent on early, and ranges so many that rows and codes don't fit in 64 bits: the same pairs."""
+    if partitions > 4:
+        monkeypatch.setattr(ngramjoin, "fragments", lambda spark: partitions)
+    rows = corpus(seed) + [r for r in ODD if r[0] != 907] + [(907, "two words")]
+    got = {(r["doc_a"], r["doc_b"]): (r["overlap"], r["jaccard"]) for r in ngramjoin.join(frame(spark, [*rows, (907, "two words")]), n, threshold, local, common).collect()}
+    assert got == brute.near_pairs([r for r in rows if r[0] is not None], n, threshold)
+
+
+def test_many_short_rows(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "fragments", lambda spark: 4096)
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 9_990).alias("text"))
+    got = ngramjoin.linked(df).collect()
+    assert {tuple(r) for r in got} == {(i + k, i, 2, 0) for i in range(10) for k in (0, 9_990)}
+
+
+@pytest.mark.parametrize("seed, n, threshold", [(1, 5, 0.35), (2, 3, 0.5)])
+def test_classes_and_links(spark, seed, n, threshold):
+    rows = corpus(seed) + [r for r in ODD if r[0] != 907] + [(907, "two words")]
+    got = {r["doc_id"]: (r["class_id"], r["copies"], r["links"]) for r in ngramjoin.linked(clashing(spark, [(i, t, "en") for i, t in [*rows, (907, "two words")]]), n, threshold).collect()}
+    rows = [r for r in rows if r[0] is not None and r[1] is not None]
+    sets = {i: frozenset(brute.gram_set(t, n)) for i, t in rows if brute.gram_set(t, n)}
+    near = {(a, b) for a in set(sets.values()) for b in set(sets.values()) if len(a & b) >= (threshold - 1e-12) * len(a | b)}
+    least = dict.fromkeys(sets)
+    for i in sets:
+        group = {sets[i]}
+        while more := {b for a, b in near if a in group} - group:
+            group |= more
+        least[i] = min(j for j in sets if sets[j] in group)
+    copies, links = {i: sum(s == sets[i] for s in sets.values()) for i in sets}, {i: sum(a == sets[i] != b for a, b in near) for i in sets}
+    assert got == {i: (least[i], copies[i], links[i]) for i in sets if copies[i] > 1 or links[i]}
+
+
 def test_contained_texts_are_near(spark):
     """Each pair is a text and the same text with words after it, shared with nobody else, down to the threshold."""
     rows = []

@@ -1,18 +1,21 @@
 """Exact n-gram Jaccard self-join by vertical partitioning.
 
 The documents' sets of word n-grams (ASCII capitals folded; a text of fewer words counts as one n-gram) are cut along the n-grams'
-order into fragments; each fragment counts overlaps on its own, and the counts are summed per pair. In steps:
+global order into fragments; each fragment counts overlaps on its own, and the counts are summed per pair. In steps:
 
-1. Each fragment is a range of n-gram codes. A mapper sends a fragment its part of every document as packed arrays, five bytes an
-   n-gram. The fragment counts the documents of each n-gram and returns, to the documents, those in two or more.
+1. n-grams that a large part of the documents has are found first, by counts within the mappers' blocks; they are known to be shared. A
+   mapper sends every other n-gram to the task that has its range of codes, as packed arrays, five bytes an n-gram. There
+   the documents of each n-gram are counted, and those in two or more go back to the documents.
 2. A document with Jaccard t to any other shares at least t of its n-grams. Those with fewer n-grams in other documents are
-   done. The rest put theirs in the global order, rarest first. Documents with equal sets are collapsed to the least doc_id.
-3. Prefix filter: a pair at or above t shares an n-gram among the first |x| - ceil(t |x|) + 1 of both. Fragments of these
-   prefixes count partial overlaps; the sums bound a pair's overlap from above, and pairs that can't reach t go.
-4. For the remaining pairs the whole sets, again by fragments, are intersected, and partial overlaps summed to the exact one.
-
-No cap is set on documents per n-gram, partners or candidates. Codes have 40 bits and the fragment's number: two different n-grams
-of a pair of texts of 500 words have the same code with a chance of some 1e-7 to 1e-9.
+   done. The rest put theirs in the global order: by level, eight to each doubling of an n-gram's documents, rarest first, and by code.
+   Documents with equal sets are collapsed to the least doc_id.
+3. Prefix filter: a pair at or above t shares an n-gram among the first |x| - ceil(t |x|) + 1 of both. The order is cut into fragments of
+   about equal numbers of prefix n-grams, which count partial overlaps; the sums bound a pair's overlap from above, and pairs that can't reach t go.
+4. For the remaining pairs the whole sets, again by fragments of the order, are intersected, and partial overlaps summed to the exact one.
+
+Pairs travel as packed arrays, one row a document with all its partners, never as a row a pair. No cap is set on documents per n-gram,
+partners or candidates. Codes have 40 bits and the range's number: two different n-grams of a pair of texts of 500 words have the
+same code with a chance of some 1e-7 to 1e-9.
 """
 
 from __future__ import annotations
@@ -21,21 +24,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenloom.llm.common import cut, fragments, release, sized, trim
-from wrenloom.llm.packing_codec import joined, pack
+from wrenloom.llm.common import cut, fragments, heavy_join, release, sized, trim
+from wrenloom.llm.packing_codec import joined, loosened, pack, squeezed, unpack
 from wrenloom.llm.textcodes import Words, grams, mix, pieces, string_buffers
 
 N, THRESHOLD = 5, 0.35
 #: n-grams that a mapper gathers before it sends them out.
 BLOCK = 2_000_000
+#: A block names the n-grams that so many of its rows have; of those, the ones with this many rows in all, and a millionth of all n-grams, count as common.
+LOCAL, COMMON = 32, 20_000
 #: Vertical fragments of the last step.
 FRAGMENTS = 4
+#: Pairs that a fragment keeps before it sends them on.
+PAIRS = 4_000_000
+LEVELS = 256
+_SHARED, _SIZES, _COMMON, _BACK = range(4)
 _PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("cell", pa.binary())])
 _PARTS_SQL = "part int, kind int, cell binary"
-_SETS = "doc_id bigint, size int, sig binary, codes array<bigint>"
+_SETS = "doc_id bigint, size int, sig binary, codes array<bigint>, levels binary"
+_NEAR = "a bigint, size_a int, home int, others binary"
 
 
 def needed(size, threshold: float):
@@ -47,6 +57,11 @@ def code_bits(parts: int) -> int:
     return 40 + parts.bit_length() - 1
 
 
+def level_of(df: np.ndarray) -> np.ndarray:
+    """The level of an n-gram of df documents: a common order of all n-grams, rare ones first."""
+    return np.minimum(np.floor(8 * np.log2(np.maximum(df, 1))), LEVELS - 1).astype(np.uint8)
+
+
 def row_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, 64-bit code) of every n-gram that lies in one row, repeats included."""
     rows, codes = [], []
@@ -62,77 +77,149 @@ def row_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(codes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+def row_sets(piece: pa.RecordBatch, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code of `bits` bits) of each row's n-grams, every one once, sorted."""
+    row, code = row_grams(Words(*string_buffers(piece.column("text")), lower=True), n)
+    code = code >> np.uint64(64 - bits)
+    if piece.num_rows >> (64 - bits):  # no room for the row beside the code
+        at = np.lexsort((code, row))
+        row, code = row[at], code[at]
+    else:
+        both = np.sort((row.astype(np.uint64) << np.uint64(bits)) | code)
+        row, code = (both >> np.uint64(bits)).astype(np.int64), both & np.uint64((1 << bits) - 1)
+    fresh = _fresh(row, code)
+    return row[fresh], code[fresh]
+
+
+def _fresh(*keys: np.ndarray) -> np.ndarray:
+    """Of sorted rows of keys: whether one differs from that before it."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
+
+
+def _runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, and where the run of each starts and ends."""
+    start = np.flatnonzero(_fresh(sorted_keys))
+    return sorted_keys[start], start, np.append(start[1:], len(sorted_keys))
+
+
 def _home(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _part_of(codes: np.ndarray, parts: int) -> np.ndarray:
-    """The fragment of a code: codes of code_bits(parts) bits are cut into equal ranges."""
-    width = -(-(1 << code_bits(parts)) // parts)
-    return (codes // np.uint64(width)).astype(np.int64)
+def _width(parts: int) -> np.uint64:
+    """Codes of code_bits(parts) bits are cut into equal ranges of this many."""
+    return np.uint64(-(-(1 << code_bits(parts)) // parts))
 
 
 def _split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32), (codes >> np.uint64(32)).astype(np.uint8)
 
 
-def _send(part: np.ndarray, ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, parts: int, extra: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows for fragments: `counts` codes of each of `ids`, all sorted by id, with the fragment `part` of every code. extra: a number for each id."""
-    width = np.uint64(-(-(1 << code_bits(parts)) // parts))
-    at = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
-    owner = np.repeat(np.arange(len(ids)), counts)[at]
-    codes, part = codes[at] - part[at].astype(np.uint64) * width, part[at]
-    low, high = _split(codes)
-    bounds = np.searchsorted(part, np.arange(parts + 1))
-    to, cells = [], []
-    for p in range(parts):
-        a, b = bounds[p], bounds[p + 1]
-        if a < b:
-            first = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
-            who = owner[a:b][first]
-            more = [] if extra is None else [extra[who].astype(np.uint32)]
-            to.append(p)
-            cells.append(pack(ids[who], np.diff(np.append(first, b - a)).astype(np.uint32), low[a:b], high[a:b], *more))
-    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([0] * len(to), pa.int32()), pa.array(cells, pa.binary())], schema=_PARTS)
+def _halves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower and upper 32 bits: apart, the upper ones are compressed."""
+    return (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32), (codes >> np.uint64(32)).astype(np.uint32)
+
 
+def _counts(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The owners of a row of n-grams in which each one's stand together, and how many each has."""
+    who, start, end = _runs_of(owner)
+    return who, (end - start).astype(np.uint32)
+
+
+def _rows(to: list, kind: list, cells: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array(cells, pa.binary())], schema=_PARTS)
+
+
+def common_grams(plain: DataFrame, n: int, parts: int, local: int = LOCAL, common: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, levels) of n-grams that very many rows have; at most a million.
+
+    A block of BLOCK n-grams names those that `local` of its rows have. What none of them names is in fewer than local / BLOCK of all n-grams, less
+    than a task's usual share of them unless there are tens of thousands of tasks. Counts are those of the naming blocks, and only used for the order.
+    """
+    bits = code_bits(parts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held, total = [], 0, 0
+
+        def named() -> pa.RecordBatch:
+            code, many = np.unique(np.concatenate(codes), return_counts=True)
+            often = many >= local
+            return pa.RecordBatch.from_arrays([pa.array(code[often].astype(np.int64)), pa.array(many[often].astype(np.int64))], names=["code", "rows"])
+
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                codes.append(row_sets(piece, n, bits)[1])
+                held += len(codes[-1])
+                if held >= BLOCK:
+                    yield named()
+                    codes, held, total = [], 0, total + held
+        if held:
+            yield named()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total + held], pa.int64())], names=["code", "rows"])
+        trim()
 
-def _codes_of(part: int, low: np.ndarray, high: np.ndarray, parts: int) -> np.ndarray:
-    width = -(-(1 << code_bits(parts)) // parts)
-    return (high.astype(np.uint64) << np.uint64(32)) + low + np.uint64(part * width)
+    counted = cut(plain.mapInArrow(count, "code bigint, rows bigint").groupBy("code").agg(F.sum("rows").alias("rows")))
+    total = counted.where("code = -1").first()
+    least = max(common, -(-(total["rows"] if total else 0) // 1_000_000))
+    found = sorted(tuple(r) for r in counted.where((F.col("code") >= 0) & (F.col("rows") >= least)).collect())
+    return np.array([c for c, _ in found], np.uint64), level_of(np.array([r for _, r in found], np.int64))
 
 
-def sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that can have a partner: size of the n-gram set, its signature if all of it occurs elsewhere too, and those n-grams that do, rarest first."""
+def sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON) -> DataFrame:
+    """The documents that can have a partner: size of the n-gram set, its signature if all of it occurs elsewhere too, and those n-grams that do, in the global order, with their levels."""
     parts = fragments(docs.sparkSession)
-    shift = np.uint64(64 - code_bits(parts))
+    bits, width = code_bits(parts), _width(parts)
+    plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    known, known_level = common_grams(plain, n, parts, local, common)
 
     def fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, codes, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             i, s, c = np.concatenate(ids), np.concatenate(sizes), np.concatenate(codes)
-            yield _send(_part_of(c, parts), i, s, c, parts)
+            owner = np.repeat(np.arange(len(i)), s)
+            to, kind, cells = [], [], []
+            if len(known):
+                spot = np.minimum(np.searchsorted(known, c), len(known) - 1)
+                hot = known[spot] == c
+                home = _home(i, parts)[owner[hot]]
+                at = np.argsort(home, kind="stable")
+                who, what = owner[hot][at], spot[hot][at]
+                for p, a, b in zip(*(x.tolist() for x in _runs_of(home[at]))):
+                    w, m = _counts(who[a:b])
+                    to.append(p)
+                    kind.append(_COMMON)
+                    cells.append(pack(i[w], m, what[a:b].astype(np.uint32)))
+                c, owner = c[~hot], owner[~hot]
+            part = (c // width).astype(np.int64)
+            at = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+            low, high = _split(c[at] - part[at].astype(np.uint64) * width)
+            owner = owner[at]
+            for p, a, b in zip(*(x.tolist() for x in _runs_of(part[at]))):
+                w, m = _counts(owner[a:b])
+                to.append(p)
+                kind.append(_SHARED)
+                cells.append(pack(i[w], m, low[a:b], high[a:b]))
             home = _home(i, parts)
             at = np.argsort(home, kind="stable")
-            bounds = np.searchsorted(home[at], np.arange(parts + 1))
-            there = np.flatnonzero(np.diff(bounds))
-            cells = [pack(i[at[bounds[p] : bounds[p + 1]]], s[at[bounds[p] : bounds[p + 1]]].astype(np.uint32)) for p in there]
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([1] * len(cells), pa.int32()), pa.array(cells, pa.binary())], schema=_PARTS)
+            for p, a, b in zip(*(x.tolist() for x in _runs_of(home[at]))):
+                to.append(p)
+                kind.append(_SIZES)
+                cells.append(pack(i[at[a:b]], s[at[a:b]].astype(np.uint32)))
+            yield _rows(to, kind, cells)
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                row, code = row_grams(Words(*string_buffers(piece.column("text")), lower=True), n)
-                code = code >> shift
-                if piece.num_rows >> (64 - code_bits(parts)):
-                    raise ValueError("more rows in a batch than bits for them")
-                both = np.sort((row.astype(np.uint64) << np.uint64(code_bits(parts))) | code)
-                both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-                size = np.bincount((both >> np.uint64(code_bits(parts))).astype(np.int64), minlength=piece.num_rows)
+                row, code = row_sets(piece, n, bits)
+                size = np.bincount(row, minlength=piece.num_rows)
                 some = size > 0
                 ids.append(piece.column("doc_id").to_numpy(zero_copy_only=False)[some])
                 sizes.append(size[some])
-                codes.append(both & np.uint64((1 << code_bits(parts)) - 1))
-                held += len(both)
+                codes.append(code)
+                held += len(code)
                 if held >= BLOCK:
                     yield from flush()
                     ids, sizes, codes, held = [], [], [], 0
@@ -145,97 +232,145 @@ def sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
         trim()  # of the group before
         part = key[0].as_py()
         kinds, data = cells.column("kind").to_pylist(), cells.column("cell").to_pylist()
-        ids, counts, low, high = joined([c for c, k in zip(data, kinds) if k == 0], "i8", "u4", "u4", "u1")
-        code, owner = _codes_of(part, low, high, parts), np.repeat(ids, counts)
+        on = [(k, c) for k, c in zip(kinds, data) if k != _SHARED]
+        ids, counts, low, high = joined([c for c, k in zip(data, kinds) if k == _SHARED], "i8", "u4", "u4", "u1")
+        del data
+        code, owner = (high.astype(np.uint64) << np.uint64(32)) + low, np.repeat(ids, counts)
         del low, high
         at = np.argsort(code, kind="stable")
         code, owner = code[at], owner[at]
-        same = np.concatenate([[False], code[1:] == code[:-1]]) if len(code) else np.zeros(0, bool)
+        same = ~_fresh(code)
         often = same.copy()
         often[:-1] |= same[1:]
         code, owner = code[often], owner[often]
         at = np.lexsort((owner, code))
         code, owner = code[at], owner[at]
-        fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]) if len(code) else np.zeros(0, bool)
+        fresh = _fresh(code, owner)
         code, owner = code[fresh], owner[fresh]  # repeated rows of a document count once
-        _, inverse, df = np.unique(code, return_inverse=True, return_counts=True)
-        df = df[inverse] if len(code) else np.zeros(0, np.int64)
+        _, start, end = _runs_of(code)
+        df = np.repeat(end - start, end - start)
         code, owner, df = code[df > 1], owner[df > 1], df[df > 1]
         home = _home(owner, parts)
         at = np.lexsort((owner, home))
-        code, owner, df, home = code[at], owner[at], df[at], home[at]
-        bounds = np.searchsorted(home, np.arange(parts + 1))
-        there = np.flatnonzero(np.diff(bounds)).tolist()
-        out = []
-        for p in there:
-            a, b = bounds[p], bounds[p + 1]
-            first = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
-            low, high = _split(code[a:b] - np.uint64(part * -(-(1 << code_bits(parts)) // parts)))
-            out.append(pack(owner[a:b][first], np.diff(np.append(first, b - a)).astype(np.uint32), low, high, df[a:b].astype(np.uint32)))
-        on = [(p, c) for p, c in zip([part] * len(kinds), zip(kinds, data)) if c[0] == 1]
-        return pa.table([pa.array(there + [p for p, _ in on], pa.int32()), pa.array([part << 1] * len(there) + [1] * len(on), pa.int32()), pa.array(out + [c for _, (_, c) in on], pa.binary())], schema=_PARTS)
+        code, owner, df = code[at], owner[at], df[at]
+        low, high = _split(code)
+        level = level_of(df)
+        to, out = [], []
+        for p, a, b in zip(*(x.tolist() for x in _runs_of(home[at]))):
+            who, many = _counts(owner[a:b])
+            to.append(p)
+            out.append(pack(who, many, low[a:b], high[a:b], level[a:b]))
+        return pa.Table.from_batches([_rows(to + [part] * len(on), [_BACK + part] * len(to) + [k for k, _ in on], out + [c for _, c in on])])
 
     def ordered(cells: pa.Table) -> pa.Table:
         trim()
         kinds, data = cells.column("kind").to_pylist(), cells.column("cell").to_pylist()
-        ids, sizes = joined([c for c, k in zip(data, kinds) if k == 1], "i8", "u4")
+        ids, sizes = joined([c for c, k in zip(data, kinds) if k == _SIZES], "i8", "u4")
         at = np.lexsort((sizes, ids))
-        last = np.concatenate([ids[at][1:] != ids[at][:-1], [True]]) if len(ids) else np.zeros(0, bool)
+        last = np.append(_fresh(ids[at])[1:], True) if len(ids) else np.zeros(0, bool)
         ids, sizes = ids[at][last], sizes[at][last].astype(np.int64)
-        owner, code, df = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        owner, code, level = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for c, k in zip(data, kinds):
-            if k != 1:
-                i, m, low, high, d = joined([c], "i8", "u4", "u4", "u1", "u4")
+            if k == _COMMON:
+                i, m, what = unpack(c, "i8", "u4", "u4")
+                owner.append(np.repeat(i, m))
+                code.append(known[what])
+                level.append(known_level[what])
+            elif k >= _BACK:
+                i, m, low, high, v = unpack(c, "i8", "u4", "u4", "u1", "u1")
                 owner.append(np.repeat(i, m))
-                code.append(_codes_of(k >> 1, low, high, parts))
-                df.append(d)
-        owner, code, df = np.concatenate(owner), np.concatenate(code), np.concatenate(df)
+                code.append((high.astype(np.uint64) << np.uint64(32)) + low + np.uint64(k - _BACK) * width)
+                level.append(v)
+        owner, code, level = np.concatenate(owner), np.concatenate(code), np.concatenate(level)
         where = np.searchsorted(ids, owner)
-        enough = np.bincount(where, minlength=len(ids)) >= np.maximum(needed(sizes, threshold), 1)
-        keep = enough[where] if len(where) else np.zeros(0, bool)
-        code, df, where = code[keep], df[keep], where[keep]
-        at = np.lexsort((code, df, where))
-        code, where = code[at], where[at]
-        rows = np.flatnonzero(enough)
+        at = np.lexsort((code, level, where))
+        code, level, where = code[at], level[at], where[at]
+        fresh = _fresh(where, code)  # common n-grams of repeated rows
+        code, level, where = code[fresh], level[fresh], where[fresh]
+        rows = np.flatnonzero(np.bincount(where, minlength=len(ids)) >= np.maximum(needed(sizes, threshold), 1))
+        kept = np.isin(where, rows)
+        code, level, where = code[kept], level[kept], where[kept]
         bounds = np.searchsorted(where, rows, "left"), np.searchsorted(where, rows, "right")
-        sig = []
+        sig, raw = [], level.tobytes()
         for r, a, b in zip(rows, *bounds):
             whole = code[a:b]
             sig.append(np.array([mix(whole).sum(), mix(whole ^ np.uint64(0x5555555555555555)).sum()], np.uint64).tobytes() if b - a == sizes[r] else None)
-        offsets = np.append(bounds[0], len(code)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(code.astype(np.int64), pa.int64()))
-        return pa.table({"doc_id": pa.array(ids[rows], pa.int64()), "size": pa.array(sizes[rows], pa.int32()), "sig": pa.array(sig, pa.binary()), "codes": lists})
+        lists = pa.ListArray.from_arrays(pa.array(np.append(bounds[0], len(code)).astype(np.int32)), pa.array(code.astype(np.int64)))
+        levels = pa.array([raw[a:b] for a, b in zip(*bounds)], pa.binary())
+        return pa.table({"doc_id": pa.array(ids[rows], pa.int64()), "size": pa.array(sizes[rows], pa.int32()), "sig": pa.array(sig, pa.binary()), "codes": lists, "levels": levels})
 
-    plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     return plain.mapInArrow(fragment, _PARTS_SQL).groupBy("part").applyInArrow(shared, _PARTS_SQL).groupBy("part").applyInArrow(ordered, _SETS)
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, levels, where each row's start, and the end) of a batch of sets()."""
+    lists = batch.column("codes")
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    codes = lists.values.to_numpy()[starts[0] : starts[-1]].astype(np.uint64)
+    return codes, np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8), starts - starts[0]
+
+
+def _prefix(batch: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, levels, counts): the first n-grams of each row, of which a near pair has one in common."""
+    codes, levels, starts = _flat(batch)
+    counts = np.diff(starts) - needed(batch.column("size").to_numpy().astype(np.int64), threshold) + 1
+    pick = np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+    return codes[pick], levels[pick], counts
+
+
+class Order:
+    """The global order, by level and code, cut into `parts` fragments of about equal load."""
+
+    def __init__(self, load: dict[int, int], parts: int, bits: int):
+        self.load = np.array([load.get(v, 0) for v in range(LEVELS)], np.float64)
+        self.before = np.concatenate([[0], np.cumsum(self.load)[:-1]])
+        self.scale, self.parts, self.bits = parts / max(1.0, self.load.sum()), parts, bits
+
+    def fragment(self, level: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = self.before[level] + self.load[level] * (code.astype(np.float64) / float(1 << self.bits))
+        return np.minimum(at * self.scale, self.parts - 1).astype(np.int64)
+
+
+def order_of(reps: DataFrame, threshold: float, parts: int, bits: int, whole: bool = False) -> Order:
+    """The order cut by the n-grams of the prefixes, or by all: the load is a number for each of LEVELS levels."""
+
+    def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                many = np.bincount(_flat(batch)[1] if whole else _prefix(batch, threshold)[1], minlength=LEVELS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(many).astype(np.int32)), pa.array(many[many > 0])], names=["level", "n"])
+
+    rows = reps.select("size", "codes", "levels").mapInArrow(loads, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n"))
+    return Order({r["level"]: r["n"] for r in rows.collect()}, parts, bits)
+
+
 def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs a < b of documents whose prefixes overlap enough for the threshold to be in reach, with their sizes."""
+    """Pairs a < b of documents whose prefixes overlap enough for the threshold to be in reach: a row for each a, with the packed b and their sizes."""
     parts = fragments(reps.sparkSession)
+    order = order_of(reps, threshold, parts, code_bits(parts))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids, sizes = batch.column("doc_id").to_numpy(), batch.column("size").to_numpy().astype(np.int64)
-                lists = batch.column("codes")
-                starts = lists.offsets.to_numpy().astype(np.int64)
-                flat = lists.values.to_numpy()[starts[0] : starts[-1]].astype(np.uint64)
-                starts = starts - starts[0]
-                counts = np.diff(starts) - needed(sizes, threshold) + 1
-                pick = np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                codes = flat[pick]
-                part = _part_of(codes, parts)
-                yield _send(part, ids, counts, codes, parts, sizes)
-
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32()), ("n", pa.int32())])
-
-    def pairs(cells: pa.Table) -> pa.Table:
+                ids, sizes = batch.column("doc_id").to_numpy(), batch.column("size").to_numpy().astype(np.uint32)
+                codes, levels, counts = _prefix(batch, threshold)
+                owner = np.repeat(np.arange(len(ids)), counts)
+                part = order.fragment(levels, codes)
+                at = np.argsort(part, kind="stable")
+                codes, owner = codes[at], owner[at]
+                to, cells = [], []
+                for p, a, b in zip(*(x.tolist() for x in _runs_of(part[at]))):
+                    who, many = _counts(owner[a:b])
+                    to.append(p)
+                    cells.append(squeezed(pack(ids[who], sizes[who], many, *_halves(codes[a:b]))))
+                yield _rows(to, [0] * len(to), cells)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        ids, counts, low, high, sizes = joined(cells.column("cell").to_pylist(), "i8", "u4", "u4", "u1", "u4")
-        code, sizes = (high.astype(np.uint64) << np.uint64(32)) + low, sizes.astype(np.int64)
+        ids, sizes, counts, low, high = joined([loosened(c) for b in batches for c in b.column("cell").to_pylist()], "i8", "u4", "u4", "u4", "u4")
+        code = (high.astype(np.uint64) << np.uint64(32)) | low
         docs, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
-        size = sizes[first]
+        size = sizes[first].astype(np.int64)
         owner = np.repeat(inverse, counts) if len(ids) else np.zeros(0, np.int64)
         at = np.lexsort((owner, size[owner], code))
         code, owner = code[at], owner[at]
@@ -246,6 +381,16 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             keys, inverse = np.unique(np.concatenate([total[0], *held]), return_inverse=True)
             return keys, np.bincount(inverse, weights=np.concatenate([total[1], *[np.ones(len(h)) for h in held]]), minlength=len(keys)).astype(np.int64)
 
+        def send(total: tuple) -> Iterator[pa.RecordBatch]:
+            keys, n = total
+            a, b = keys // max(1, len(docs)), keys % max(1, len(docs))
+            home = _home(docs[a], parts)
+            at = np.argsort(home, kind="stable")
+            a, b, n = a[at], b[at], n[at].astype(np.uint32)
+            for p, x, y in zip(*(x.tolist() for x in _runs_of(home[at]))):
+                who, many = _counts(a[x:y])
+                yield _rows([p], [0], [squeezed(pack(docs[who], size[who].astype(np.uint32), many, docs[b[x:y]], size[b[x:y]].astype(np.uint32), n[x:y]))])
+
         while True:
             index = index[index + step < end[index]]
             if not len(index):
@@ -256,54 +401,102 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             x, y = x[near], y[near]
             held.append(np.minimum(x, y) * len(docs) + np.maximum(x, y))
             many += len(x)
-            if many > 4_000_000:
+            if many > PAIRS:
                 total, held, many = fold(total, held), [], 0
+                if len(total[0]) > PAIRS:
+                    yield from send(total)
+                    total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
             step += 1
-        keys, n = fold(total, held)
-        a, b = (keys // len(docs), keys % len(docs)) if len(keys) else (keys, keys)
-        return pa.table([pa.array(docs[a], pa.int64()), pa.array(docs[b], pa.int64()), pa.array(size[a], pa.int32()), pa.array(size[b], pa.int32()), pa.array(n, pa.int32())], schema=schema)
-
-    partial = reps.select("doc_id", "size", "codes").mapInArrow(prefixes, _PARTS_SQL).groupBy("part").applyInArrow(pairs, "a bigint, b bigint, size_a int, size_b int, n int")
-    least = lambda c: F.ceil(c * threshold - 1e-9)
-    bound = F.col("n") + F.greatest(least(F.col("size_a")), least(F.col("size_b"))) - 1  # the prefix that ends first may be either's
-    return partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n")).where(bound >= F.ceil(threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9)).drop("n")
-
+        yield from send(fold(total, held))
 
-def overlaps(pairs: DataFrame, reps: DataFrame, many: int = FRAGMENTS) -> DataFrame:
-    """The exact overlap of each pair: partial ones by fragment of the n-gram codes, summed.
-
-    Pairs of one group of near copies meet in one bucket, named by the least neighbour of their first document, so that a document's
+    def summed(cells: pa.Table) -> pa.Table:
+        trim()
+        ids, sizes, counts, b, size_b, n = joined([loosened(c) for c in cells.column("cell").to_pylist()], "i8", "u4", "u4", "i8", "u4", "u4")
+        a, size_a = np.repeat(ids, counts), np.repeat(sizes, counts)
+        at = np.lexsort((b, a))
+        a, b, size_a, size_b, n = a[at], b[at], size_a[at].astype(np.int64), size_b[at].astype(np.int64), n[at]
+        start = np.flatnonzero(_fresh(a, b))
+        n = np.add.reduceat(n.astype(np.int64), start) if len(start) else n
+        a, b, size_a, size_b = a[start], b[start], size_a[start], size_b[start]
+        bound = n + np.maximum(needed(size_a, threshold), needed(size_b, threshold)) - 1  # the prefix that ends first may be either's
+        near = bound >= needed(size_a + size_b, threshold / (1 + threshold))
+        a, b, size_a, size_b = a[near], b[near], size_a[near], size_b[near].astype(np.uint32)
+        who, start, end = _runs_of(a)
+        return pa.table([pa.array(who, pa.int64()), pa.array(size_a[start], pa.int32()), pa.array([0] * len(who), pa.int32()), pa.array([pack(b[x:y], size_b[x:y]) for x, y in zip(start, end)], pa.binary())], names=["a", "size_a", "home", "others"])
+
+    counted = reps.select("doc_id", "size", "codes", "levels").mapInArrow(prefixes, _PARTS_SQL).groupBy("part").applyInArrow(pairs, _PARTS_SQL)
+    return counted.groupBy("part").applyInArrow(summed, _NEAR)
+
+
+def overlaps(near: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, many: int = FRAGMENTS) -> DataFrame:
+    """Of candidates(), the pairs at or above the threshold with their exact overlaps: partial ones by fragment of the n-gram order, summed.
+
+    Documents of one group of near copies meet in one bucket, named by the least neighbour of a pair's first document, so that a document's
     n-grams travel about once and not once for each of its pairs.
     """
     parts = fragments(reps.sparkSession)
-    ends = pairs.selectExpr("a as x", "a as y").unionByName(pairs.selectExpr("b as x", "a as y"))
-    home = ends.groupBy("x").agg(F.pmod(F.xxhash64(F.min("y")), F.lit(parts)).cast("int").alias("home"))
-    placed = pairs.join(home.select(F.col("x").alias("a"), "home"), "a").select("home", "a", "b", "size_a", "size_b")
-    wanted = placed.selectExpr("home as spot", "a as doc_id").unionByName(placed.selectExpr("home as spot", "b as doc_id")).distinct()
-    cut_at = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda f: F.struct(f.alias("f"), F.filter("codes", lambda c: F.pmod(c, F.lit(many)) == f).alias("seg")))
-    segments = reps.select("doc_id", "codes").join(wanted, "doc_id").select("spot", "doc_id", F.explode(cut_at).alias("s")).select("spot", F.col("s.f").alias("g"), "doc_id", "s.seg")
-    sides = placed.select("home", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("f"), "a", "b", "size_a", "size_b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32()), ("n", pa.int32())])
+    order, octets = order_of(reps, threshold, many, code_bits(parts), whole=True), -(-code_bits(parts) // 8)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, others = batch.column("a").to_numpy(), [unpack(c, "i8", "u4")[0] for c in batch.column("others").to_pylist()]
+            x = np.concatenate([a, *others]).astype(np.int64)
+            y = np.concatenate([a, np.repeat(a, [len(o) for o in others])]).astype(np.int64)
+            at = np.lexsort((y, x))
+            fresh = _fresh(x[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at][fresh]), pa.array(y[at][fresh])], names=["x", "y"])
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, a, others = batch.column("home").to_numpy(), batch.column("a").to_numpy(), [unpack(c, "i8", "u4")[0] for c in batch.column("others").to_pylist()]
+            x = np.concatenate([a, *others]).astype(np.int64)
+            h = np.concatenate([home, np.repeat(home, [len(o) for o in others])]).astype(np.int32)
+            at = np.lexsort((x, h))
+            fresh = _fresh(h[at], x[at])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at][fresh]), pa.array(x[at][fresh])], names=["spot", "doc_id"])
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes, levels, starts = _flat(batch)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+                part = order.fragment(levels, codes)
+                at = np.lexsort((owner, part))
+                codes, key = codes[at], part[at] * batch.num_rows + owner[at]
+                keys, start, end = _runs_of(key)
+                rows = pa.array(keys % batch.num_rows)
+                cells = [codes[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :octets].tobytes() for a, b in zip(start, end)]
+                yield pa.RecordBatch.from_arrays([batch.column("spot").take(rows), pa.array((keys // batch.num_rows).astype(np.int32)), batch.column("doc_id").take(rows), pa.array(cells, pa.binary())], names=["spot", "g", "doc_id", "seg"])
 
     def count(two: pa.Table, segs: pa.Table) -> pa.Table:
+        trim()
         if not two.num_rows:
             return schema.empty_table()
-        trim()
-        two = two.combine_chunks()
+        others = [unpack(c, "i8", "u4")[0] for c in two.column("others").to_pylist()]
+        lengths = np.array([len(o) for o in others])
         docs = segs.column("doc_id").to_numpy()
-        lists = segs.column("seg").combine_chunks()
-        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = segs.column("seg").to_pylist()
+        size = np.array([len(c) // octets for c in cells], np.int64)
         at = np.argsort(docs, kind="stable")
         rank = np.empty(len(docs), np.int64)
         rank[at] = np.arange(len(docs))
-        _, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        wide = np.zeros((int(size.sum()), 8), np.uint8)
+        wide[:, :octets] = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, octets)
+        _, flat = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+        del wide
         base = int(flat.max()) + 1 if len(flat) else 1
         key = np.sort(np.repeat(rank, size) * base + flat)
-        size = size[at]
+        # a document without n-grams in this fragment is the last one, of size 0
+        docs, size = docs[at], np.append(size[at], 0)
         start = np.concatenate([[0], np.cumsum(size)])
-        x, y = (np.searchsorted(docs[at], two.column(c).to_numpy()) for c in ("a", "b"))
+
+        def place(ids: np.ndarray) -> np.ndarray:
+            spot = np.minimum(np.searchsorted(docs, ids), max(0, len(docs) - 1))
+            return np.where(docs[spot] == ids, spot, len(docs)) if len(docs) else np.zeros(len(ids), np.int64)
+
+        x, y = place(np.repeat(two.column("a").to_numpy(), lengths)), place(np.concatenate(others))
         x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
-        n = np.zeros(len(x), np.int64)
+        n = np.zeros(len(x), np.uint32)
         for a, b in _runs(size[x], 1_000_000):
             m = size[x[a:b]]
             owner = np.repeat(np.arange(b - a), m)
@@ -311,10 +504,31 @@ def overlaps(pairs: DataFrame, reps: DataFrame, many: int = FRAGMENTS) -> DataFr
             sought = y[a:b][owner] * base + mine
             spot = np.minimum(np.searchsorted(key, sought), max(len(key) - 1, 0))
             n[a:b] = np.bincount(owner[key[spot] == sought], minlength=b - a) if len(sought) else 0
-        return pa.table([two.column(c).combine_chunks() for c in ("a", "b", "size_a", "size_b")] + [pa.array(n, pa.int32())], schema=schema)
+        cut_at = np.concatenate([[0], np.cumsum(lengths)])
+        return pa.table([two.column("a"), two.column("f"), pa.array([n[a:b].tobytes() for a, b in zip(cut_at, cut_at[1:])], pa.binary())], schema=schema)
 
-    counted = sides.groupBy("home", "f").cogroup(segments.groupBy("spot", "g")).applyInArrow(count, "a bigint, b bigint, size_a int, size_b int, n int")
-    return counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
+    schema = pa.schema([("a", pa.int64()), ("f", pa.int32()), ("n", pa.binary())])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, size_a, home, others, parts_of in zip(*(batch.column(c).to_pylist() for c in ("a", "size_a", "home", "others", "ns"))):
+                b, size_b = unpack(others, "i8", "u4")
+                n = np.sum([np.frombuffer(p, np.uint32) for p in parts_of], axis=0, dtype=np.int64)
+                whole = size_a + size_b.astype(np.int64) - n
+                near = n >= (threshold - 1e-12) * whole
+                if near.any():
+                    rows.append((a, size_a, home, pack(b[near], size_b[near], n[near].astype(np.uint32))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["a", "size_a", "home", "others"])
+
+    home = near.mapInArrow(ends, "x bigint, y bigint").groupBy("x").agg(F.pmod(F.xxhash64(F.min("y")), F.lit(parts)).cast("int").alias("home"))
+    placed = cut(near.drop("home").join(home.withColumnRenamed("x", "a"), "a").select("a", "size_a", "home", "others"))
+    spots = placed.mapInArrow(wanted, "spot int, doc_id bigint").distinct()
+    pieces_of = reps.select("doc_id", "codes", "levels").join(spots, "doc_id").mapInArrow(segments, "spot int, g int, doc_id bigint, seg binary")
+    sides = placed.select("home", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("f"), "a", "others")
+    counted = sides.groupBy("home", "f").cogroup(pieces_of.groupBy("spot", "g")).applyInArrow(count, "a bigint, f int, n binary")
+    together = counted.groupBy("a").agg(F.collect_list("n").alias("ns"))  # as many as there are fragments
+    return placed.join(together, "a").mapInArrow(exact, _NEAR)
 
 
 def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -326,7 +540,35 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def near_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, least, copies, size) of each document of an n-gram set that several have, with the least doc_id and the number of
+    those; and (a, size_a, home, others) with the near partners b > a of the least ones, as packed ids, sizes and overlaps."""
+    spark = docs.sparkSession
+    found = cut(sets(docs, n, threshold, local, common))
+    release(spark)
+    alike = found.where("sig is not null").select("sig", "size", "doc_id")
+    classes = cut(alike.groupBy("sig", "size").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1"))
+    members = cut(heavy_join(alike, classes, ["sig", "size"], "copies").select("doc_id", "least", "copies", "size"))
+    later = members.where("doc_id > least").select("doc_id")
+    reps = found.join(sized(later, later.count()), "doc_id", "left_anti")
+    near = cut(overlaps(cut(candidates(reps, threshold)), reps, threshold))
+    release(spark)
+    return members, near
+
+
+def _pairs_of(near: DataFrame) -> DataFrame:
+    """A row for each pair: (a, size_a, b, size_b, overlap)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, size_a, others in zip(*(batch.column(c).to_pylist() for c in ("a", "size_a", "others"))):
+                b, size_b, n = unpack(others, "i8", "u4", "u4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(np.full(len(b), size_a, np.int64)), pa.array(b), pa.array(size_b.astype(np.int64)), pa.array(n.astype(np.int64))], names=["a", "size_a", "b", "size_b", "overlap"])
+
+    return near.mapInArrow(work, "a bigint, size_a bigint, b bigint, size_b bigint, overlap bigint")
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON) -> DataFrame:
     """All near pairs: (doc_a, doc_b, overlap, jaccard), doc_a < doc_b.
 
     Documents with equal n-gram sets form a class; the class is given as pairs of its least doc_id with each other member (jaccard 1),
@@ -335,28 +577,70 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
 
     Rows with a null doc_id or text, and texts without words, have no n-grams and no pairs. Rows that share a doc_id are one document:
     repeated rows change nothing; where their texts differ, the union of the n-grams counts, against the largest size. Ties at the
-    threshold are in. Other columns, whatever their names, are ignored. An empty table gives an empty result.
+    threshold are in. Long texts count whole. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    found = cut(sets(docs, n, threshold))
-    release(spark)
-    classes = found.where("sig is not null").select("doc_id", "size", F.min("doc_id").over(Window.partitionBy("sig", "size")).alias("least")).where("doc_id > least")
-    members = cut(classes)
-    reps = found.join(sized(members.select("doc_id"), members.count()), "doc_id", "left_anti")
-    near = overlaps(cut(candidates(reps, threshold)), reps)
-    release(spark)
+    members, near = near_sets(docs, n, threshold, local, common)
     jaccard = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    pairs = near.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.col("overlap").cast("bigint"), F.round(F.least(jaccard, F.lit(1.0)), 6).alias("jaccard"), jaccard.alias("exact")).where(F.col("exact") >= threshold - 1e-12).drop("exact")
-    return pairs.unionByName(members.select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").cast("bigint").alias("overlap"), F.lit(1.0).alias("jaccard")))
+    pairs = _pairs_of(near).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "overlap", F.round(F.least(jaccard, F.lit(1.0)), 6).alias("jaccard"))
+    return pairs.unionByName(members.where("doc_id > least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").cast("bigint").alias("overlap"), F.lit(1.0).alias("jaccard")))
+
+
+def _forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, the least node that it is linked to) of the edges x-y."""
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b, least = at[: len(x)], at[len(x) :], np.arange(len(nodes))
+    while True:
+        before = least.copy()
+        np.minimum.at(least, a, before[b])
+        np.minimum.at(least, b, before[a])
+        least = least[least]
+        if (least == before).all():
+            return nodes, nodes[least]
+
+
+def _links_of(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, links): how many near partners each has; (doc_a, doc_b): fewer pairs with the same groups, as the links within a batch become a star."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [unpack(c, "i8", "u4", "u4")[0] for c in batch.column("others").to_pylist()]
+            ids, many = np.unique(np.concatenate([np.zeros(0, np.int64), *others]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column("a"), pa.array(ids)]), pa.array(np.concatenate([[len(o) for o in others], many]).astype(np.int64))], names=["doc_id", "links"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [unpack(c, "i8", "u4", "u4")[0] for c in batch.column("others").to_pylist()]
+            node, least = _forest(np.repeat(batch.column("a").to_numpy(), [len(o) for o in others]), np.concatenate([np.zeros(0, np.int64), *others]))
+            yield pa.RecordBatch.from_arrays([pa.array(least[node != least]), pa.array(node[node != least])], names=["doc_a", "doc_b"])
+
+    counted = near.mapInArrow(links, "doc_id bigint, links bigint").groupBy("doc_id").agg(F.sum("links").alias("links"))
+    return counted, near.repartition("home").mapInArrow(stars, "doc_a bigint, doc_b bigint")
+
+
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON) -> DataFrame:
+    """(doc_id, class_id, copies, links) of every document that has a near copy.
+
+    class_id: the least doc_id of its group, linked by near pairs by as many links as it takes. copies: documents with its n-gram set, itself
+    among them. links: the other n-gram sets at or above the threshold with its own, each once however many documents have it. So no link between
+    different texts is left out, and copies aren't expanded into pairs. Odd rows are treated as in join().
+    """
+    members, near = near_sets(docs, n, threshold, local, common)
+    links, stars = _links_of(near)
+    groups = cut(components(stars))
+    alike = members.where("doc_id = least").select(F.col("least").alias("doc_id"), "copies")
+    heads = cut(groups.join(links, "doc_id").join(alike, "doc_id", "full").select("doc_id", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")))
+    copies = heavy_join(members.where("doc_id > least").select("doc_id", "least"), heads.withColumnRenamed("doc_id", "least"), ["least"], "copies")
+    return heads.unionByName(copies.select("doc_id", "class_id", "copies", "links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(doc_id, least): the least doc_id linked to each document of pairs (doc_a, doc_b), by as many links as it takes.
 
     Each round gives a document the least label among its own and its neighbours', then the label of that label; the rounds needed
-    grow with the logarithm of the longest chain for usual groups. Ends when a round changes nothing.
+    grow with the logarithm of the longest chain for usual groups. Ends when a round changes nothing. A null on a side is no link; a
+    document linked to itself alone, and an empty table, give no rows; repeated and reversed pairs count once. Other columns are ignored.
     """
-    edges = cut(pairs.selectExpr("doc_a as x", "doc_b as y").unionByName(pairs.selectExpr("doc_b as x", "doc_a as y")).where("x <> y").distinct())
+    edges = cut(pairs.selectExpr("doc_a as x", "doc_b as y").unionByName(pairs.selectExpr("doc_b as x", "doc_a as y")).where("x <> y").distinct())  # nulls aren't unequal
     labels = cut(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("least")))
     while True:
         near = edges.join(labels.select(F.col("x").alias("y"), F.col("least").alias("l")), "y").groupBy("x").agg(F.min("l").alias("l"))
@@ -372,10 +656,12 @@ def components(pairs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of linked near copies, that with the least doc_id; all columns are kept.
 
-    Rows with a null doc_id have no copies and stay. Of rows that share a doc_id, one stays: the least by text and the other columns' JSON.
+    Rows with a null doc_id or text, and those without words, have no copies and stay. Of rows that share a doc_id, one stays: the least by text and the other columns' JSON.
     """
     spark = docs.sparkSession
-    gone = cut(components(join(docs, n, threshold)).where("doc_id > least").select(F.col("doc_id").alias("gone_id")))
+    members, near = near_sets(docs, n, threshold)
+    later = components(_links_of(near)[1]).where("doc_id > least").select("doc_id")
+    gone = cut(later.unionByName(members.where("doc_id > least").select("doc_id")).distinct().withColumnRenamed("doc_id", "gone_id"))
     release(spark)
     once = docs.join(sized(gone, gone.count()), docs["doc_id"] == gone["gone_id"], "left_anti")
     again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id")))

@@ -16,7 +16,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.join(table(spark, sf_dir, "documents"))
+    return ngramjoin.linked(table(spark, sf_dir, "documents"))
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 WORDS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
 
 NGRAM_JACCARD = f"""
-WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE words AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {ngramjoin.N} THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - {ngramjoin.N} + 2), lambda i: array_to_string(w[i:i + {ngramjoin.N} - 1], ' ')) END)) AS g FROM words WHERE len(w) > 0),
 classed AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS least FROM sets),
@@ -67,9 +67,12 @@ grams AS (SELECT doc_id, len(g) AS size, unnest(g) AS gram FROM classed WHERE do
 shared AS (SELECT gram FROM grams GROUP BY gram HAVING count(*) > 1),
 few AS (SELECT grams.* FROM grams SEMI JOIN shared USING (gram)),
 near AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS j
-    FROM few a JOIN few b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, overlap, round(j, 6) AS jaccard FROM near WHERE j >= {ngramjoin.THRESHOLD} - 1e-12
-UNION ALL SELECT least, doc_id, len(g), 1.0::DOUBLE FROM classed WHERE doc_id > least"""
+    FROM few a JOIN few b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ends AS (SELECT doc_a AS x, doc_b AS y FROM near WHERE j >= {ngramjoin.THRESHOLD} - 1e-12 UNION ALL SELECT doc_b, doc_a FROM near WHERE j >= {ngramjoin.THRESHOLD} - 1e-12),
+reach AS (SELECT x, x AS y FROM (SELECT DISTINCT x FROM ends) UNION SELECT reach.x, ends.y FROM reach JOIN ends ON ends.x = reach.y),
+heads AS (SELECT least AS doc, count(*) AS copies FROM classed GROUP BY 1)
+SELECT doc_id, coalesce((SELECT min(y) FROM reach WHERE x = least), least) AS class_id, copies, (SELECT count(*) FROM ends WHERE x = least) AS links
+FROM classed JOIN heads ON doc = least WHERE copies > 1 OR least IN (SELECT x FROM ends)"""
 
 
 PLAIN_WORDS = WORDS.replace("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "text")
