@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from test_text_operators import clashing
 
 from wrenloom.llm import bestfit, decontaminate, gif, hostgraph, ngramjoin, sharding, superkmer
+from wrenloom.llm import queries as llm
+from wrenloom.llm.common import table
 
 
 def mutated(rng, w, share):
@@ -333,6 +335,27 @@ def test_ranks(spark):
     assert got["bad.com"]["verdict"] == "blocked" and got["alone.org"]["verdict"] == "unknown"
 
 
+def test_shared_targets_make_edges(spark):
+    html = lambda *paths: " ".join(f'<a href="{p}">' for p in paths)
+    rows = [("http://a.org/1", html("/x", "/x", "/y")), ("http://b.org/1", html("/x", "/y", "//c.org/z", "")), ("http://c.org/", html("/x", "/only", "/only")), ("/nohost", html("/x") * 9), ("http://d.org", None)]
+    pages = spark.createDataFrame([(i, *r, 0) for i, r in enumerate(rows)], "page_id bigint, url string, html string, w int")
+    got = {(r["src"], r["dst"]): r["w"] for r in hostgraph.target_edges(pages).collect()}
+    assert got == {("b.org", "a.org"): 2, ("c.org", "a.org"): 1}
+    out = {r["page_id"]: (r["host"], r["verdict"]) for r in hostgraph.filtered(pages, ["b.org"], ["a.org"], hostgraph.target_edges(pages)).collect()}
+    assert out == {0: ("a.org", "blocked"), 1: ("b.org", "blocked"), 2: ("c.org", "unknown"), 3: (None, "unknown"), 4: ("d.org", "unknown")}
+    assert hostgraph.filtered(pages.limit(0), ["b.org"], []).count() == 0
+
+
+def test_the_pages_have_edges(spark, small):
+    """The registered query passes ranks on: hosts that are no seeds have both kinds of score."""
+    pages = table(spark, small, "pages")
+    assert hostgraph.target_edges(pages).count() > 20
+    rows = llm.queries()["op2_url_filter"](spark, small).collect()
+    assert len(rows) == pages.count()
+    seeds = tuple(llm.TRUSTED + llm.BLOCKED)
+    assert any(r["trust"] > 0 and not r["host"].endswith(seeds) for r in rows) and any(r["distrust"] > 0 and not r["host"].endswith(seeds) for r in rows)
+
+
 def test_ranks_of_nothing(spark):
     pages = spark.createDataFrame([("http://a.org", "x" * 1_000_000)], "url string, html string")
     assert hostgraph.judge(pages.limit(0)).count() == 0

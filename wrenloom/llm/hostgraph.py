@@ -13,13 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenloom.llm.common import cut, release
+from wrenloom.llm.common import cut, heavy_join, release
 
 DAMPING, ITERATIONS, EVERY = 0.85, 20, 5
 #: Scores from which a host counts as blocked or as trusted.
 BLOCK_AT, TRUST_AT = 1.0, 1.0
-TRUSTED = ("tionsh.example.net", "ththon.example.com", "ththhe.example.com", "ththan.example.net")
-BLOCKED = ("spam-farm.example.org", "cheap-pills.example.com")
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)"
 HREF = r"""href\s*=\s*["']([^"']*)["']"""
 
@@ -35,6 +33,18 @@ def edges_of(pages: DataFrame) -> DataFrame:
     return links.select("src", host_of(F.trim("href")).alias("dst")).where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
+def target_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst, w): a host graph for pages whose links are all relative, such as the synthetic ones: hosts that share a link's target.
+
+    The target belongs to the host with the most links to it, the least of those with as many; every other host that has it counts as
+    linking there, with its number of links. So a target that all hosts share makes one edge a host, not one a pair of hosts.
+    """
+    links = pages.select(host_of(F.col("url").cast("string")).alias("src"), F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(HREF), F.lit(1))).alias("href")).where(F.col("src").isNotNull() & F.col("href").startswith("/") & ~F.col("href").startswith("//"))
+    shared = links.groupBy("src", "href").agg(F.count("*").alias("n"))
+    owners = shared.groupBy("href").agg(F.count("*").alias("hosts"), F.min(F.struct((-F.col("n")).alias("n"), "src"))["src"].alias("dst")).where("hosts > 1")
+    return shared.join(owners, "href").where("src <> dst").groupBy("src", "dst").agg(F.sum("n").cast("double").alias("w"))
+
+
 def _under(host, domains: Sequence[str]) -> F.Column:
     out = F.lit(False)
     for d in domains:
@@ -42,16 +52,19 @@ def _under(host, domains: Sequence[str]) -> F.Column:
     return out
 
 
-def judge(pages: DataFrame, trusted: Sequence[str] = TRUSTED, blocked: Sequence[str] = BLOCKED, iterations: int = ITERATIONS, damping: float = DAMPING, block_at: float = BLOCK_AT, trust_at: float = TRUST_AT) -> DataFrame:
+def judge(pages: DataFrame, trusted: Sequence[str] = (), blocked: Sequence[str] = (), iterations: int = ITERATIONS, damping: float = DAMPING, block_at: float = BLOCK_AT, trust_at: float = TRUST_AT, more_edges: DataFrame | None = None) -> DataFrame:
     """(host, pages, trust, distrust, verdict) of every host that has a page or is linked to.
 
     Seeds are domains: a host is one if it equals a domain or lies under it. A host at `block_at` distrust or more is "blocked", else at `trust_at`
     trust or more "trusted", else "unknown"; at the threshold counts as reached. A page with a null or hostless URL belongs to no
     host; null or empty html has no links; links without a host stay on their host and are no edges. Repeated rows count again, as
-    pages and as weights. Other columns are ignored. Without seeds of a kind that score is 0. An empty table gives an empty result.
+    pages and as weights. Texts are read whole. more_edges: (src, dst, w) that count beside the links between hosts. Other columns are ignored. Without seeds of a kind that score is 0. An empty table gives an empty result.
     """
     rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    edges = cut(edges_of(rows))
+    edges = edges_of(rows)
+    if more_edges is not None:
+        edges = edges.unionByName(more_edges.select("src", "dst", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    edges = cut(edges)
     counts = rows.select(host_of(F.col("url")).alias("host")).where("host is not null").groupBy("host").agg(F.count("*").alias("pages"))
     linked = edges.select(F.col("dst").alias("host"), F.lit(0).cast("bigint").alias("pages")).unionByName(edges.select(F.col("src").alias("host"), F.lit(0).cast("bigint").alias("pages")))
     hosts = counts.unionByName(linked).groupBy("host").agg(F.sum("pages").alias("pages"))
@@ -62,17 +75,29 @@ def judge(pages: DataFrame, trusted: Sequence[str] = TRUSTED, blocked: Sequence[
     base = base.withColumns({"t": F.col("t") / max(seeds_t, 1.0), "b": F.col("b") / max(seeds_b, 1.0)})
     ranks = base.select("host", "t", "b", "out_w", "in_w", "pages", F.col("t").alias("trust"), F.col("b").alias("distrust"))
     has_edges = not edges.isEmpty()
+    if has_edges:  # once for either direction
+        ways = cut(edges.select("src", F.col("dst").alias("host"), "w", F.lit(True).alias("ahead")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("host"), "w", F.lit(False).alias("ahead"))))
     for i in range(iterations if has_edges else 0):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_w").isNull(), F.col("trust"))), F.lit(0.0)).alias("lost_t"), F.coalesce(F.sum(F.when(F.col("in_w").isNull(), F.col("distrust"))), F.lit(0.0)).alias("lost_b"))
-        ahead = edges.join(ranks.select(F.col("host").alias("src"), (F.col("trust") / F.col("out_w")).alias("r")), "src").select(F.col("dst").alias("host"), (F.col("r") * F.col("w")).alias("ct"), F.lit(0.0).alias("cb"))
-        back = edges.join(ranks.select(F.col("host").alias("dst"), (F.col("distrust") / F.col("in_w")).alias("r")), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("ct"), (F.col("r") * F.col("w")).alias("cb"))
-        got = ahead.unionByName(back).groupBy("host").agg(F.sum("ct").alias("ct"), F.sum("cb").alias("cb"))
-        moved = ranks.join(got, "host", "left").crossJoin(F.broadcast(lost))  # lost is one row
-        step = lambda seed, c, lost_c: (1 - damping) * F.col(seed) + damping * (F.coalesce(F.col(c), F.lit(0.0)) + F.col(lost_c) * F.col(seed))
-        ranks = moved.select("host", "t", "b", "out_w", "in_w", "pages", step("t", "ct", "lost_t").alias("trust"), step("b", "cb", "lost_b").alias("distrust"))
+        here = ranks.select(F.col("host").alias("src"), (F.col("trust") / F.col("out_w")).alias("rt"), (F.col("distrust") / F.col("in_w")).alias("rb"))
+        got = ways.join(here, "src").groupBy("host").agg(F.sum(F.when(F.col("ahead"), F.col("rt") * F.col("w"))).alias("ct"), F.sum(F.when(~F.col("ahead"), F.col("rb") * F.col("w"))).alias("cb"))
+        step = lambda seed, c, lost_c: (1 - damping) * F.col(seed) + damping * (F.coalesce(F.col(c), F.lit(0.0)) + lost.select(lost_c).scalar() * F.col(seed))
+        ranks = cut(ranks.join(got, "host", "left").select("host", "t", "b", "out_w", "in_w", "pages", step("t", "ct", "lost_t").alias("trust"), step("b", "cb", "lost_b").alias("distrust")))
         if (i + 1) % EVERY == 0:
-            ranks = cut(ranks)
             release(ranks.sparkSession)
     trust, distrust = F.round(F.col("trust") * n, 6), F.round(F.col("distrust") * n, 6)
     verdict = F.when((F.col("b") > 0) | (distrust >= block_at), "blocked").when(trust >= trust_at, "trusted").otherwise("unknown")
     return ranks.select("host", "pages", trust.alias("trust"), distrust.alias("distrust"), verdict.alias("verdict"))
+
+
+def filtered(pages: DataFrame, trusted: Sequence[str], blocked: Sequence[str], more_edges: DataFrame | None = None) -> DataFrame:
+    """(page_id, host, trust, distrust, verdict) of every row of pages, as judge() has its host.
+
+    A page without a host has null scores and the verdict "unknown". A null page_id stays null; repeated rows give a row each. A host with very many
+    pages goes to them by broadcast. Other columns but url and html are ignored. An empty table gives an empty result.
+    """
+    verdicts = cut(judge(pages, trusted, blocked, more_edges=more_edges))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of(F.col("url").cast("string")).alias("host"))
+    known = heavy_join(rows.where("host is not null"), verdicts, ["host"], "pages").select("page_id", "host", "trust", "distrust", "verdict")
+    none = rows.where("host is null").select("page_id", "host", F.lit(None).cast("double").alias("trust"), F.lit(None).cast("double").alias("distrust"), F.lit("unknown").alias("verdict"))
+    return known.unionByName(none)

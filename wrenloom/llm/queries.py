@@ -39,8 +39,15 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
 
 
+#: Seeds among the hosts of the synthetic pages.
+TRUSTED = tuple(f"{name}.example.{end}" for name in ("tionsh", "ththon", "ththhe", "ththan", "therin") for end in ("com", "net", "org"))
+BLOCKED = tuple(f"{name}.example.{end}" for name in ("cheap-pills", "casino-win", "free-bets", "ads-track") for end in ("com", "net", "org"))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hostgraph.judge(table(spark, sf_dir, "pages"))
+    """The synthetic pages link to their own hosts only, so the host graph is made from link targets that hosts share."""
+    pages = table(spark, sf_dir, "pages")
+    return hostgraph.filtered(pages, TRUSTED, BLOCKED, hostgraph.target_edges(pages))
 
 
 def gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +122,16 @@ r{k + 1} AS MATERIALIZED (SELECT x.host, {1 - d} * x.t + {d} * (coalesce(f.c, 0)
     CROSS JOIN (SELECT coalesce(sum(r.trust) FILTER (y.out_w IS NULL), 0) AS lt, coalesce(sum(r.distrust) FILTER (y.in_w IS NULL), 0) AS lb FROM r{k} r JOIN base y USING (host)) lost),""" for k in range(n))
     return f"""
 WITH links AS (SELECT {host.format("url")} AS src, unnest(regexp_extract_all(html, 'href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href FROM pages),
-edges AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT src, {host.format("trim(href)")} AS dst FROM links) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY 1, 2),
+shared AS (SELECT src, href, count(*) AS n FROM links WHERE src IS NOT NULL AND starts_with(href, '/') AND NOT starts_with(href, '//') GROUP BY 1, 2),
+owners AS (SELECT href, src AS dst FROM shared QUALIFY row_number() OVER (PARTITION BY href ORDER BY n DESC, src) = 1),
+edges AS MATERIALIZED (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, {host.format("trim(href)")} AS dst, 1 AS w FROM links UNION ALL SELECT src, dst, n FROM shared JOIN owners USING (href)) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY 1, 2),
 hosts AS (SELECT host, sum(pages)::BIGINT AS pages FROM (SELECT {host.format("url")} AS host, 1 AS pages FROM pages UNION ALL SELECT src, 0 FROM edges UNION ALL SELECT dst, 0 FROM edges) WHERE host IS NOT NULL GROUP BY 1),
-seeds AS (SELECT *, CAST({under(hostgraph.TRUSTED)} AS INTEGER)::DOUBLE AS t0, CAST({under(hostgraph.BLOCKED)} AS INTEGER)::DOUBLE AS b0 FROM hosts),
+seeds AS (SELECT *, CAST({under(TRUSTED)} AS INTEGER)::DOUBLE AS t0, CAST({under(BLOCKED)} AS INTEGER)::DOUBLE AS b0 FROM hosts),
 base AS MATERIALIZED (SELECT host, pages, t0 / greatest(sum(t0) OVER (), 1) AS t, b0 / greatest(sum(b0) OVER (), 1) AS b, out_w, in_w, count(*) OVER () AS n FROM seeds
     LEFT JOIN (SELECT src AS host, sum(w) AS out_w FROM edges GROUP BY 1) USING (host) LEFT JOIN (SELECT dst AS host, sum(w) AS in_w FROM edges GROUP BY 1) USING (host)),
 r0 AS MATERIALIZED (SELECT host, t AS trust, b AS distrust FROM base),{steps}
-final AS (SELECT b.host, pages, round(trust * n, 6) AS trust, round(distrust * n, 6) AS distrust, b.b > 0 AS seed FROM r{n} JOIN base b USING (host))
-SELECT host, pages, trust, distrust, CASE WHEN seed OR distrust >= {hostgraph.BLOCK_AT} THEN 'blocked' WHEN trust >= {hostgraph.TRUST_AT} THEN 'trusted' ELSE 'unknown' END AS verdict FROM final"""
+final AS (SELECT b.host, round(trust * n, 6) AS trust, round(distrust * n, 6) AS distrust, b.b > 0 AS seed FROM r{n} JOIN base b USING (host))
+SELECT page_id, host, trust, distrust, CASE WHEN seed OR distrust >= {hostgraph.BLOCK_AT} THEN 'blocked' WHEN trust >= {hostgraph.TRUST_AT} THEN 'trusted' ELSE 'unknown' END AS verdict FROM (SELECT page_id, {host.format("url")} AS host FROM pages) LEFT JOIN final USING (host)"""
 
 
 def _shards_sql() -> str:
