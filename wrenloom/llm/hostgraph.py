@@ -78,11 +78,11 @@ def judge(pages: DataFrame, trusted: Sequence[str] = (), blocked: Sequence[str]
     if has_edges:  # once for either direction
         ways = cut(edges.select("src", F.col("dst").alias("host"), "w", F.lit(True).alias("ahead")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("host"), "w", F.lit(False).alias("ahead"))))
     for i in range(iterations if has_edges else 0):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_w").isNull(), F.col("trust"))), F.lit(0.0)).alias("lost_t"), F.coalesce(F.sum(F.when(F.col("in_w").isNull(), F.col("distrust"))), F.lit(0.0)).alias("lost_b"))
+        lost_t, lost_b = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_w").isNull(), F.col("trust"))), F.lit(0.0)).alias("lost_t"), F.coalesce(F.sum(F.when(F.col("in_w").isNull(), F.col("distrust"))), F.lit(0.0)).alias("lost_b")).first()
         here = ranks.select(F.col("host").alias("src"), (F.col("trust") / F.col("out_w")).alias("rt"), (F.col("distrust") / F.col("in_w")).alias("rb"))
         got = ways.join(here, "src").groupBy("host").agg(F.sum(F.when(F.col("ahead"), F.col("rt") * F.col("w"))).alias("ct"), F.sum(F.when(~F.col("ahead"), F.col("rb") * F.col("w"))).alias("cb"))
-        step = lambda seed, c, lost_c: (1 - damping) * F.col(seed) + damping * (F.coalesce(F.col(c), F.lit(0.0)) + lost.select(lost_c).scalar() * F.col(seed))
-        ranks = cut(ranks.join(got, "host", "left").select("host", "t", "b", "out_w", "in_w", "pages", step("t", "ct", "lost_t").alias("trust"), step("b", "cb", "lost_b").alias("distrust")))
+        step = lambda seed, c, lost: (1 - damping) * F.col(seed) + damping * (F.coalesce(F.col(c), F.lit(0.0)) + lost * F.col(seed))
+        ranks = cut(ranks.join(got, "host", "left").select("host", "t", "b", "out_w", "in_w", "pages", step("t", "ct", lost_t).alias("trust"), step("b", "cb", lost_b).alias("distrust")))
         if (i + 1) % EVERY == 0:
             release(ranks.sparkSession)
     trust, distrust = F.round(F.col("trust") * n, 6), F.round(F.col("distrust") * n, 6)
