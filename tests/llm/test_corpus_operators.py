@@ -346,8 +346,9 @@ def test_shared_targets_make_edges(spark):
     assert hostgraph.filtered(pages.limit(0), ["b.org"], []).count() == 0
 
 
-def test_the_pages_have_edges(spark, small):
+def test_the_pages_have_edges(spark):
     """The registered query passes ranks on: hosts that are no seeds have both kinds of score."""
+    small = "/root/testdata/sf0.01"
     pages = table(spark, small, "pages")
     assert hostgraph.target_edges(pages).count() > 20
     rows = llm.queries()["op2_url_filter"](spark, small).collect()
@@ -365,38 +366,79 @@ def test_ranks_of_nothing(spark):
 # sharding
 
 
-def cut_weight(links, shard):
-    return sum(w for a, b, w in links if shard[a] != shard[b])
+def line_links(docs, least=sharding.LEAST_LINE):
+    """{(a, b): lines that both have}, a < b, by brute force."""
+    lines = {}
+    for i, text in docs:
+        if i is not None:
+            lines.setdefault(i, set()).update(x for x in (text or "").split("\n") if len(x) >= least)
+    ids = sorted(lines)
+    return {(a, b): w for k, a in enumerate(ids) for b in ids[k + 1 :] if (w := len(lines[a] & lines[b]))}
 
 
-def test_sharding_keeps_quotas_and_cuts_less(spark):
-    rng = np.random.default_rng(3)
-    docs = []
-    for i in range(240):
-        topic = i // 12 if i < 200 else 50 + i
-        docs.append((i, "\n".join(f"a line of topic {topic} number {int(k)}" for k in rng.integers(0, 3, 3))))
-    df = clashing(spark, [(i, t, "en") for i, t in docs] + [(5, docs[5][1], "en"), (None, "a line of topic 1 number 1", "en"), (500, None, None), (501, "", "en"), (502, "x" * 300_000, "en")])
-    got = sharding.assign(df, 4, 8, 0.1)
-    shard = {r["doc_id"]: r["shard"] for r in got.collect()}
-    assert got.count() == len(shard) == 243
-    sizes = np.bincount(list(shard.values()), minlength=4)
-    assert sizes.max() <= sharding.capacity_of(243, 4, 0.1)
-    links = [tuple(r) for r in sharding.links_of(df.where("doc_id is not null")).collect()]
-    start = {i: i % 4 for i in shard}
-    assert cut_weight(links, shard) < 0.5 * cut_weight(links, start)
-    assert shard[500] == 0 and shard[501] == 1
+def cut_share(links, shard):
+    """Of the links' weight, what joins different shards."""
+    return sum(w for (a, b), w in links.items() if shard[a] != shard[b]) / sum(links.values())
+
+
+def topics(ids, size, seed=3):
+    """Documents of topics with `size` documents each, and lines of few kinds in a topic."""
+    rng = np.random.default_rng(seed)
+    return [(int(i), "\n".join(f"a line of topic {k // size} number {int(x)}" for x in rng.integers(0, 3, 3))) for k, i in enumerate(ids)]
 
 
-def test_links_are_chains(spark):
-    line = "a line that is long enough"
-    df = frame(spark, [(i, f"{line}\nshort\n{line}") for i in (1, 5, 9)] + [(1 << 21, line), (2, "short"), (3, None), (9, line)])
-    assert sorted(map(tuple, sharding.links_of(df).collect())) == [(1, 5, 1), (1, 1 << 21, 1), (5, 9, 1)]
+@pytest.mark.parametrize("salt", [sharding.SALT, 3])
+def test_sharding_keeps_quotas_and_cuts_less(spark, salt):
+    docs = topics(range(200), 12)
+    odd = [(5, docs[5][1]), (None, "a line of topic 1 number 1"), (500, None), (501, ""), (502, "x" * 300_000)]
+    got = sharding.assign(clashing(spark, [(i, t, "en") for i, t in docs + odd]), 4, 8, 0.1, salt=salt)
+    shard = {r["doc_id"]: r["shard"] for r in got.collect()}
+    assert got.count() == len(shard) == 203
+    assert np.bincount(list(shard.values()), minlength=4).max() <= sharding.capacity_of(203, 4, 0.1)
+    links = line_links(docs)
+    start = {r["doc_id"]: r["rank"] % 4 for r in sharding.ranked(got.select("doc_id")).collect()}
+    assert cut_share(links, start) > 0.7 and cut_share(links, shard) < 0.5 * cut_share(links, start)
+    assert all(shard[i] == start[i] for i in (500, 501, 502))
+
+
+def test_ids_that_are_multiples_of_the_shards(spark):
+    """2,000 linked documents with ids 16k: sizes keep to the capacity from the start."""
+    docs = topics([16 * k for k in range(2000)], 200)
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign(frame(spark, docs), rounds=2).collect()}
+    sizes = np.bincount(list(got.values()), minlength=16)
+    assert len(got) == 2000 and sizes.max() <= sharding.capacity_of(2000, 16, sharding.SLACK) and sizes.min() > 0
+    start = {r["doc_id"]: r["rank"] % 16 for r in sharding.ranked(frame(spark, docs)).collect()}
+    assert cut_share(links := line_links(docs), got) < cut_share(links, start)
+
+
+def test_votes_are_links(spark):
+    """How many links lead where, against all pairs."""
+    rng = np.random.default_rng(1)
+    docs = topics(range(60), 7)
+    shard = {i: int(rng.integers(4)) for i, _ in docs}
+    homes = spark.createDataFrame([(i, s) for i, s in shard.items()], "doc_id bigint, shard int")
+    want = {}
+    for (a, b), w in line_links(docs).items():
+        for x, y in ((a, b), (b, a)):
+            want[x, shard[x], shard[y]] = want.get((x, shard[x], shard[y]), 0) + w
+    lines = sharding.shared_lines(frame(spark, docs)).selectExpr("line", "doc_id", "2 as salts", "int(doc_id % 2) as salt")
+    assert {tuple(r)[:3]: r["votes"] for r in sharding.votes(lines, homes).collect()} == want
+
+
+def test_quotas(spark):
+    """Swaps, then room by the number of the source; the greatest gains first, then the least ranks."""
+    asks = [(i, i, 0, 1, 5 - i % 2) for i in range(10)] + [(20 + i, 20 + i, 1, 0, 1) for i in range(3)] + [(40 + i, 40 + i, 2, 1, 9) for i in range(4)]
+    sizes = spark.createDataFrame([(0, 50), (1, 48), (2, 10)], "shard int, size bigint")
+    got = sharding.granted(spark.createDataFrame(asks, "doc_id bigint, rank bigint, from int, to int, gain bigint"), sizes, 57, 64).collect()
+    assert sorted(map(tuple, got)) == sorted([(i, 1) for i in range(10)] + [(20 + i, 0) for i in range(3)] + [(40, 1), (41, 1)])
+    got = sharding.granted(spark.createDataFrame(asks, "doc_id bigint, rank bigint, from int, to int, gain bigint"), sizes, 50, 64).collect()
+    assert sorted(map(tuple, got)) == sorted([(i, 1) for i in (0, 2, 4, 6, 8)] + [(20 + i, 0) for i in range(3)])
 
 
 def test_sharding_of_nothing(spark):
-    assert sharding.assign(frame(spark, [])).count() == 0
-    assert sharding.assign(frame(spark, [(None, "x")])).count() == 0
-    assert sorted(map(tuple, sharding.assign(frame(spark, [(-1, "x"), (17, "y")])).collect())) == [(-1, 15), (17, 1)]
+    assert sharding.assign(frame(spark, []), rounds=1).count() == 0
+    assert sharding.assign(frame(spark, [(None, "x")]), rounds=1).count() == 0
+    assert sorted(r["shard"] for r in sharding.assign(frame(spark, [(-1, "x"), (17, "y")]), rounds=1).collect()) == [0, 1]
 
 
 # media

@@ -135,24 +135,25 @@ SELECT page_id, host, trust, distrust, CASE WHEN seed OR distrust >= {hostgraph.
 
 
 def _shards_sql() -> str:
-    """assign() with its rounds unrolled."""
-    s, block = sharding.SHARDS, 1 << sharding.BLOCK_BITS
+    """assign() with its rounds unrolled, each link a row: all pairs of a line's documents."""
+    s = sharding.SHARDS
     even = f"((n + {s - 1}) // {s})"
     steps = "".join(f"""
 a{r} AS (SELECT doc_id, shard, arg_max(there, votes * 1000000 - there) FILTER (there <> shard) AS target, max(votes) FILTER (there <> shard) AS most, coalesce(max(votes) FILTER (there = shard), 0) AS here
-    FROM (SELECT b.doc_id, h.shard, t.shard AS there, sum(b.w) AS votes FROM both_ways b JOIN h{r} h USING (doc_id) JOIN h{r} t ON t.doc_id = b.near GROUP BY 1, 2, 3) GROUP BY 1, 2),
-q{r} AS MATERIALIZED (SELECT doc_id, shard AS src, target AS dst, most - here AS gain FROM a{r} WHERE most > here AND (doc_id >> {r // 2 % 8}) % 2 = {r % 2}),
-k{r} AS (SELECT q.*, row_number() OVER (PARTITION BY src, dst ORDER BY gain DESC, doc_id) <= coalesce(f.back, 0) AS swap FROM q{r} q LEFT JOIN (SELECT src AS fs, dst AS fd, count(*) AS back FROM q{r} GROUP BY 1, 2) f ON f.fs = q.dst AND f.fd = q.src),
-x{r} AS (SELECT doc_id, dst, row_number() OVER (PARTITION BY dst ORDER BY gain DESC, doc_id) AS place FROM k{r} WHERE NOT swap),
-m{r} AS (SELECT doc_id, dst FROM k{r} WHERE swap UNION ALL SELECT doc_id, dst FROM x{r} LEFT JOIN (SELECT shard, count(*) AS size FROM h{r} GROUP BY 1) z ON z.shard = dst CROSS JOIN room WHERE place <= most - coalesce(size, 0)),
+    FROM (SELECT l.doc_id, h.shard, t.shard AS there, sum(l.w) AS votes FROM links l JOIN h{r} h USING (doc_id) JOIN h{r} t ON t.doc_id = l.near GROUP BY 1, 2, 3) GROUP BY 1, 2),
+q{r} AS MATERIALIZED (SELECT doc_id, rank, shard AS src, target AS dst, most - here AS gain FROM a{r} JOIN ranks USING (doc_id) WHERE most > here AND (rank >> {r // 2 % 8}) % 2 = {r % 2}),
+f{r} AS (SELECT src, dst, count(*) AS asking FROM q{r} GROUP BY 1, 2),
+w{r} AS (SELECT f.src, f.dst, f.asking, least(f.asking, coalesce(b.asking, 0)) AS swap FROM f{r} f LEFT JOIN f{r} b ON b.src = f.dst AND b.dst = f.src),
+x{r} AS (SELECT src, dst, swap + greatest(0, least(asking - swap, most - coalesce(size, 0) - coalesce(sum(asking - swap) OVER (PARTITION BY dst ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota
+    FROM w{r} LEFT JOIN (SELECT shard, count(*) AS size FROM h{r} GROUP BY 1) z ON z.shard = dst, room),
+m{r} AS (SELECT doc_id, dst FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY gain DESC, rank) AS place FROM q{r}) JOIN x{r} USING (src, dst) WHERE place <= quota),
 h{r + 1} AS MATERIALIZED (SELECT doc_id, coalesce(dst, shard) AS shard FROM h{r} LEFT JOIN m{r} USING (doc_id)),""" for r in range(sharding.ROUNDS))
     return f"""
 WITH rows AS (SELECT DISTINCT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents WHERE doc_id IS NOT NULL),
-chains AS (SELECT doc_id, line, doc_id // {block} AS block, lag(doc_id) OVER (PARTITION BY line, doc_id // {block} ORDER BY doc_id) AS before FROM rows WHERE length(line) >= {sharding.LEAST_LINE}),
-pairs AS (SELECT before, doc_id FROM chains WHERE before IS NOT NULL UNION ALL SELECT before, doc_id FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY line ORDER BY doc_id) AS before FROM chains WHERE before IS NULL) WHERE before IS NOT NULL),
-links AS (SELECT before AS a, doc_id AS b, count(*) AS w FROM pairs GROUP BY 1, 2),
-both_ways AS MATERIALIZED (SELECT a AS doc_id, b AS near, w FROM links UNION ALL SELECT b, a, w FROM links),
-h0 AS MATERIALIZED (SELECT doc_id, CAST((doc_id % {s} + {s}) % {s} AS INTEGER) AS shard FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+lines AS (SELECT * FROM rows WHERE length(line) >= {sharding.LEAST_LINE}),
+links AS MATERIALIZED (SELECT a.doc_id, b.doc_id AS near, count(*) AS w FROM lines a JOIN lines b ON a.line = b.line AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ranks AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+h0 AS MATERIALIZED (SELECT doc_id, CAST(rank % {s} AS INTEGER) AS shard FROM ranks),
 room AS (SELECT {even} + CAST(floor({even} * {sharding.SLACK} + 1e-9) AS BIGINT) AS most FROM (SELECT count(*) AS n FROM h0)),{steps.rstrip(",")}
 SELECT doc_id, shard FROM h{sharding.ROUNDS}"""
 
