@@ -24,7 +24,7 @@ SHARDS, ROUNDS, SLACK, LEAST_LINE = 16, 8, 0.05, 20
 #: A line's documents are joined with its counts in groups of about so many; bins of ranks in the histogram.
 SALT, BINS = 50_000, 64
 #: Rounds after which the files of their shuffles are removed.
-EVERY = 4
+EVERY = 1
 
 
 def capacity_of(documents: int, shards: int, slack: float) -> int:
