@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import brute
 import numpy as np
@@ -263,6 +264,15 @@ def test_scan_is_the_slow_scan(parts, glue):
     assert licences.scan(text) == slow_scan(text)
 
 
+def test_long_expressions_and_many_tags_take_linear_time():
+    began = time.process_time()
+    category, names = licences.evaluate(" OR ".join(["MIT", "(Apache-2.0 AND ISC)"] * 40_000))
+    assert category == "permissive" and names == ["apache-2.0", "isc", "mit"]
+    found = licences.scan("SPDX-License-Identifier: MIT\n" * 100_000)
+    assert found == (["mit"], ["MIT"], 100_000, "permissive")
+    assert time.process_time() - began < 30
+
+
 def test_licences_over_the_documents(spark, small):
     from wrenloom.llm.common import table
 

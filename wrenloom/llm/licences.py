@@ -57,6 +57,7 @@ NOTICES = {
 }
 SCHEMA = "doc_id bigint, licences array<string>, expressions array<string>, hits int, category string, allowed boolean"
 _PIECE = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.\-+:]*)")
+_BLANKS = re.compile(r"\s*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -95,7 +96,7 @@ def postfix(expression: str) -> list[str] | None:
                 return None
             out.append(word)
             operand_next = False
-        at += len(expression[at:]) - len(expression[at:].lstrip())
+        at = _BLANKS.match(expression, at).end()
     if operand_next or "(" in stack:
         return None
     return out + stack[::-1]
@@ -167,19 +168,17 @@ def scan(text: str) -> tuple[list[str], list[str], int, str | None]:
         worst = max(worst, CATEGORIES.index(CATEGORY[name]))
     if tagged:
         small = text.lower() if len(text.lower()) == len(text) else text.translate(_ASCII)
-        for tag in TAGS:
-            at = small.find(tag)
-            while at >= 0:
-                if tag != "license-identifier:" or small[max(0, at - 5) : at] != "spdx-":
-                    rest = text[at + len(tag) :]
-                    stop = _LINE_END.search(rest)
-                    expression = rest[: stop.start() if stop else len(rest)].strip()
-                    category, ids = evaluate(expression)
-                    hits += 1
-                    names.update(ids)
-                    expressions.append(" ".join(expression.split()))
-                    worst = max(worst, CATEGORIES.index(category))
-                at = small.find(tag, at + 1)
+        for end, (size, name) in automaton().iter(small):
+            at = end - size + 1
+            if name is not None or (size == len("license-identifier:") and small[max(0, at - 5) : at] == "spdx-" and small.startswith("license-identifier:", at)):
+                continue
+            stop = _LINE_END.search(text, end + 1)
+            expression = text[end + 1 : stop.start() if stop else len(text)].strip()
+            category, ids = evaluate(expression)
+            hits += 1
+            names.update(ids)
+            expressions.append(" ".join(expression.split()))
+            worst = max(worst, CATEGORIES.index(category))
     return sorted(names), sorted(set(expressions)), hits, CATEGORIES[worst] if hits else None
 
 
@@ -190,7 +189,7 @@ def licences(docs: DataFrame) -> DataFrame:
     """(doc_id, licences, expressions, hits, category, allowed) of each row of docs.
 
     Null, empty and unlicensed texts: nothing found, no category, allowed. A malformed expression has the category "malformed" and isn't allowed. A null
-    doc_id stays null; repeated rows give a row each; equal finds in a text count as hits each and are listed once. Texts are scanned
+    doc_id stays null; every tag's expression goes to the end of its line; repeated rows give a row each; equal finds in a text count as hits each and are listed once. Texts are scanned
     whole. Other columns are ignored. An empty table gives an empty result.
     """
 
