@@ -22,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a local one only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset: a local one with a local master, as in tests; an error with any other."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or os.path.join(tempfile.gettempdir(), "wrenloom-checkpoints")
 
 
