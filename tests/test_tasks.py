@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wrenloom import config, schemas
-from wrenloom.operators import jobs
+from wrenloom.operators import frontier, jobs
 from wrenloom.operators import tasks as task_table
 
 NOW = datetime.datetime(2024, 6, 1)
@@ -153,3 +153,11 @@ def test_empty_tables(spark):
     t, s = spark.createDataFrame([], schemas.TASKS), spark.createDataFrame([], schemas.SUBMISSIONS)
     out = task_table.submit(t, s, _stages(spark))
     assert out.count() == 0 and task_table.apply_submissions(t, out, F.lit(NOW)).count() == 0
+
+
+def test_task_tree_is_deep_and_whole(spark):
+    """A chain of 300, a wide root, a cycle, a task below a missing one."""
+    rows = [(i, i - 1) for i in range(1, 301)] + [(1000, 0)] + [(1001 + i, 1000) for i in range(500)] + [(2001, 2002), (2002, 2001), (2003, 2001), (3001, 3000), (None, 1), (4000, None)]
+    got = {r["id"]: (r["root"], r["depth"]) for r in frontier.task_tree(spark.createDataFrame(rows, "id bigint, pid bigint")).collect()}
+    assert got == {i: (1, i - 1) for i in range(1, 301)} | {1000: (1000, 0)} | {1001 + i: (1000, 1) for i in range(500)}
+    assert frontier.task_tree(spark.createDataFrame([], "id bigint, pid bigint")).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wrenloom.checkpoints import checkpointed
 from wrenloom.functions import urls
 
 LONGEST_URL = 500
@@ -100,14 +101,21 @@ def once_per_transfer(requests: DataFrame) -> DataFrame:
     return best.select("url", "folder", "file", "best.*").select(*requests.columns)
 
 
-def task_tree(tasks: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, root, depth) of each task that hangs on a root (pid 0); depth 0 is the root. Found level by level: as many joins as the forest is deep, `rounds` at most."""
-    spark = tasks.sparkSession
-    tasks.select("id", "pid").createOrReplaceTempView("_tree_tasks")
-    query = f"""WITH RECURSIVE tree(id, root, depth) MAX RECURSION LEVEL {rounds} AS (
-        SELECT id, id, 0 FROM _tree_tasks WHERE pid = 0 UNION ALL SELECT t.id, p.root, p.depth + 1 FROM _tree_tasks t JOIN tree p ON t.pid = p.id)
-        SELECT id, root, depth FROM tree"""
-    return spark.sql(query)
+def task_tree(tasks: DataFrame) -> DataFrame:
+    """(id, root, depth) of each task that hangs on a root (pid 0); depth 0 is the root.
+
+    By pointer doubling: each round looks twice as far up, so a chain of a million tasks takes some twenty joins. Tasks below a missing one or on a
+    cycle hang on no root and are left out, as are null ids and pids; an empty table gives an empty result. Ids are taken to be distinct.
+    """
+    root = F.col("pid") == 0
+    state = checkpointed(tasks.where("id is not null and pid is not null").select("id", F.when(root, F.col("id")).otherwise(F.col("pid")).alias("up"), F.when(root, 0).otherwise(1).alias("depth"), root.alias("done")))
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("not done").isEmpty():
+            break
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("top"))
+        stepped = state.where("not done").join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top").alias("done"))
+        state = checkpointed(state.where("done").unionByName(stepped))
+    return state.where("done").select("id", F.col("up").alias("root"), "depth")
 
 
 def with_parents(tasks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenloom import config, schemas
+from wrenloom.checkpoints import checkpointed
 from wrenloom.operators import frontier, jobs
 from wrenloom.operators import tasks as task_table
 from wrenloom.sources.transport import Transport
@@ -102,17 +103,6 @@ class Crawl:
         return outcomes
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Computed now and kept in the folder that all executors share (spark.checkpoint.dir; a temporary one where that is unset, as in tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="wrenloom-"))
-    return df.checkpoint(eager=True)
-
-
 def dispatch(crawl: Crawl, kind: str, as_of: str, polled: DataFrame | None = None) -> DataFrame:
     """The outcomes of a job by its type: recover or repeat. Others: ValueError."""
     if kind == "recover":
