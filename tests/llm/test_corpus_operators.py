@@ -511,6 +511,15 @@ def test_broken_bytes_are_said_to_be(at, value, cut):
             pass
 
 
+def test_frames_before_a_fault_stay(spark):
+    """A GIF cut off within its second image, or before its trailer, keeps what was decoded."""
+    images = [gif.Image(np.full((4, 4), k, np.uint8), delay_ms=10) for k in range(2)]
+    whole = gif.encode(4, 4, gif.PALETTE, images)
+    df = spark.createDataFrame([(1, whole[:-1]), (2, whole[:-4]), (3, whole)], "id bigint, gif binary")
+    got = {(r["id"], r["frame"]): r["error"] for r in gif.frames(df).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (1, None): "no trailer", (2, 0): None, (2, None): "it ends within a block", (3, 0): None, (3, 1): None}
+
+
 def test_media_cases(spark):
     good = gif.encode(2, 2, PALETTE, [gif.Image(np.array([[1, 2], [3, 0]], np.uint8), delay_ms=30)] * 2)
     none = gif.encode(2, 2, PALETTE, [])

@@ -21,7 +21,9 @@ SCHEMA = "id bigint, frame int, start_ms bigint, delay_ms int, width int, height
 
 
 class BadGif(ValueError):
-    """The bytes aren't a GIF that can be read."""
+    """The bytes aren't a GIF that can be read. frames: those decoded before that showed."""
+
+    frames: list[Frame] = []
 
 
 @dataclass
@@ -108,7 +110,17 @@ def interlaced_rows(height: int) -> list[int]:
 
 
 def decode(data: bytes, most_pixels: int = 1 << 26) -> list[Frame]:
-    """The frames of a GIF, composed. Raises BadGif for bytes that aren't one; frames before a broken one are lost with it."""
+    """The frames of a GIF, composed. Raises BadGif, with the frames up to there, for bytes that aren't one or are cut off or broken."""
+    frames: list[Frame] = []
+    try:
+        _decode(data, most_pixels, frames)
+    except BadGif as e:
+        e.frames = frames
+        raise
+    return frames
+
+
+def _decode(data: bytes, most_pixels: int, frames: list[Frame]) -> None:
     if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
         raise BadGif("no GIF header")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -118,7 +130,6 @@ def decode(data: bytes, most_pixels: int = 1 << 26) -> list[Frame]:
     if flags & 0x80:
         common, at = _palette(data, at, flags)
     screen = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     delay, clear_index, disposal, clock = 0, None, 0, 0
     while True:
         if at >= len(data):
@@ -126,7 +137,7 @@ def decode(data: bytes, most_pixels: int = 1 << 26) -> list[Frame]:
         kind = data[at]
         at += 1
         if kind == 0x3B:
-            return frames
+            return
         if kind == 0x21:
             label = data[at] if at < len(data) else 0
             body, at = _blocks(data, at + 1)
@@ -258,7 +269,7 @@ def frames(media: DataFrame) -> DataFrame:
     """media: (id, gif). A row for each frame: id, frame number from 0, start and delay in ms, screen size, opaque pixels, colour histogram, RGBA pixels.
 
     Null media have no rows. Bytes that can't be read, empty ones included, and GIFs whose screen or an image has more than 2**26
-    pixels have one row with frame null and the reason in error. A null id stays null;
+    pixels have one row with frame null and the reason in error, after the rows of the frames before the fault. A null id stays null;
     repeated rows give their frames each. A GIF without images has no rows. Other columns are ignored. An empty table: empty result.
     """
 
@@ -266,10 +277,14 @@ def frames(media: DataFrame) -> DataFrame:
         for batch in batches:
             for i, gif in zip(batch.column("id").to_pylist(), batch.column("gif").to_pylist()):
                 if gif is not None:
+                    error = None
                     try:
-                        rows = [(i, k, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], int((f.rgba[..., 3] > 0).sum()), histogram(f.rgba).tolist(), f.rgba.tobytes(), None) for k, f in enumerate(decode(gif))]
+                        found = decode(gif)
                     except BadGif as e:
-                        rows = [(i, None, None, None, None, None, None, None, None, str(e))]
+                        found, error = e.frames, str(e)
+                    rows = [(i, k, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], int((f.rgba[..., 3] > 0).sum()), histogram(f.rgba).tolist(), f.rgba.tobytes(), None) for k, f in enumerate(found)]
+                    if error is not None:
+                        rows.append((i, None, None, None, None, None, None, None, None, error))
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
