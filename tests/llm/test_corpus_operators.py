@@ -92,6 +92,46 @@ def test_classes_and_links(spark, seed, n, threshold):
     assert got == {i: (least[i], copies[i], links[i]) for i in sets if copies[i] > 1 or links[i]}
 
 
+def crowded(seed, copies):
+    """Two crowds of variants, some near each other and some not, that share lines with each other and with other texts."""
+    rng = np.random.default_rng(seed)
+    lines, rows = [[f"line{k}w{i}" for i in range(12)] for k in range(3)], []
+    for base in range(2):
+        words = [f"b{base}w{i}" for i in range(60)]
+        rows += [mutated(rng, words, float(rng.choice([0.01, 0.05, 0.15]))) + lines[base] for _ in range(copies)]
+    rows += [[f"x{k}w{i}" for i in range(int(rng.integers(1, 25)))] + lines[k % 3] + lines[(k + k // 3) % 3] for k in range(copies)]
+    return [(int(i), " ".join(rows[i])) for i in rng.permutation(len(rows))]
+
+
+@pytest.mark.parametrize("hot, most_docs, tile", [(2, 1000, 1000), (3, 7, 3), (8, 1000, 5), (16, 10, 1000)])
+def test_crowds_are_compared_whole(spark, hot, most_docs, tile):
+    rows = crowded(hot, 30)
+    near = brute.near_pairs(rows, ngramjoin.N, ngramjoin.THRESHOLD)
+    df = frame(spark, rows)
+    got = [((r["doc_a"], r["doc_b"]), (r["overlap"], r["jaccard"])) for r in ngramjoin.join(df, hot=hot, most_docs=most_docs, tile=tile).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == near
+    sets = {i: frozenset(brute.gram_set(t, ngramjoin.N)) for i, t in rows}
+    partners = {i: {sets[x + y - i] for x, y in near if i in (x, y)} for i in sets}  # near, if i is the least of its class
+    links = {r["doc_id"]: r["links"] for r in ngramjoin.linked(df, hot=hot, most_docs=most_docs, tile=tile).collect()}
+    assert links == {i: len({s for j in sets for s in partners[j] | {sets[j]} if j == min(k for k in sets if sets[k] == sets[i])} - {sets[i]}) for i in links}
+    assert set(links) == {i for pair in near for i in pair}
+
+
+def test_pairs_of_a_crowd_are_not_listed(spark):
+    """400 variants of a text have some 80,000 near pairs; what passes between the tasks stays in proportion to the variants."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(mutated(rng, words, 0.03))) for i in range(400)]
+    df = frame(spark, rows)
+    possible, links = ngramjoin.candidates(ngramjoin.sets(df))
+    pairs = sum(len(ngramjoin.unpack(r["others"], "i8", "u4")[0]) for r in possible.collect())
+    assert pairs < 400 * ngramjoin.HOT and 399 <= links.count() < 400 * 4
+    sets = {i: frozenset(brute.gram_set(t, ngramjoin.N)) for i, t in rows}
+    near = {s: sum(len(s & o) >= (ngramjoin.THRESHOLD - 1e-12) * len(s | o) for o in set(sets.values()) - {s}) for s in set(sets.values())}
+    assert sum(near.values()) > 100_000
+    assert {(r["doc_id"], r["class_id"], r["links"]) for r in ngramjoin.linked(df).collect()} == {(i, 0, near[s]) for i, s in sets.items()}
+
+
 def test_contained_texts_are_near(spark):
     """Each pair is a text and the same text with words after it, shared with nobody else, down to the threshold."""
     rows = []

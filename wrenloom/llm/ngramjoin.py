@@ -12,8 +12,12 @@ global order into fragments; each fragment counts overlaps on its own, and the c
 3. Prefix filter: a pair at or above t shares an n-gram among the first |x| - ceil(t |x|) + 1 of both. The order is cut into fragments of
    about equal numbers of prefix n-grams, which count partial overlaps; the sums bound a pair's overlap from above, and pairs that can't reach t go.
 4. For the remaining pairs the whole sets, again by fragments of the order, are intersected, and partial overlaps summed to the exact one.
+5. An n-gram in the prefixes of HOT or more documents makes no pairs in 3, as their number would grow with the square of its documents. It links them to
+   a crowd (those of sizes too far apart aside), and crowds that share a document are one. Two documents of different crowds, or of none, have no such
+   n-gram in common, so 3 and 4 are exact for them. Within a crowd all pairs of whole sets are compared, tile by tile: overlaps of frequent
+   n-grams are matrix products, those of the others are counted. Only sums and the least linked ids leave a tile.
 
-Pairs travel as packed arrays, one row a document with all its partners, never as a row a pair. No cap is set on documents per n-gram,
+Pairs of 3 and 4 travel as packed arrays, one row a document with all its partners, never as a row a pair. No cap is set on documents per n-gram,
 partners or candidates. Codes have 40 bits and the range's number: two different n-grams of a pair of texts of 500 words have the
 same code with a chance of some 1e-7 to 1e-9.
 """
@@ -41,11 +45,19 @@ FRAGMENTS = 4
 #: Pairs that a fragment keeps before it sends them on.
 PAIRS = 4_000_000
 LEVELS = 256
+#: Documents with an n-gram in their prefixes from which on it makes a crowd of them instead of pairs.
+HOT = 16
+#: A crowd is cut into blocks of about so many documents and n-grams at most; a task has two blocks, and compares TILE by TILE documents at a time.
+CROWD_DOCS, CROWD_GRAMS, TILE = 16_384, 2_000_000, 1_024
+#: Of a tile's pairs, the share that has an n-gram from which on a matrix product counts it faster, and the columns of one product.
+DENSE, COLUMNS = 1 / 150, 2_048
 _SHARED, _SIZES, _COMMON, _BACK = range(4)
 _PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("cell", pa.binary())])
 _PARTS_SQL = "part int, kind int, cell binary"
 _SETS = "doc_id bigint, size int, sig binary, codes array<bigint>, levels binary"
 _NEAR = "a bigint, size_a int, home int, others binary"
+_PAIRS = pa.schema([(c, pa.int64()) for c in ("a", "size_a", "b", "size_b", "overlap")])
+_PAIRS_SQL = "a bigint, size_a bigint, b bigint, size_b bigint, overlap bigint"
 
 
 def needed(size, threshold: float):
@@ -344,8 +356,12 @@ def order_of(reps: DataFrame, threshold: float, parts: int, bits: int, whole: bo
     return Order({r["level"]: r["n"] for r in rows.collect()}, parts, bits)
 
 
-def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs a < b of documents whose prefixes overlap enough for the threshold to be in reach: a row for each a, with the packed b and their sizes."""
+def candidates(reps: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of documents whose prefixes overlap enough for the threshold to be in reach, without the n-grams of `hot` and more documents: a row
+    for each a, with the packed b and their sizes. And (doc_a, doc_b): links of the documents of those n-grams, from which crowds follow.
+
+    Pairs of one crowd may be among the candidates or not; all others that reach the threshold are.
+    """
     parts = fragments(reps.sparkSession)
     order = order_of(reps, threshold, parts, code_bits(parts))
 
@@ -374,6 +390,16 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         owner = np.repeat(inverse, counts) if len(ids) else np.zeros(0, np.int64)
         at = np.lexsort((owner, size[owner], code))
         code, owner = code[at], owner[at]
+        _, begin, end = _runs_of(code)
+        crowded = np.repeat(end - begin >= hot, end - begin)
+        if crowded.any():
+            code, owner, light = code[crowded], owner[crowded], (code[~crowded], owner[~crowded])
+            begin = _fresh(code)
+            begin[1:] |= size[owner[:-1]] < needed(size[owner[1:]], threshold)  # none before is near in size to one from here on
+            begin = np.flatnonzero(begin)
+            node, least = _forest(np.repeat(np.minimum.reduceat(owner, begin), np.diff(np.append(begin, len(owner)))), owner)
+            yield _rows([0], [1], [squeezed(pack(docs[least[node != least]], docs[node[node != least]]))])
+            code, owner = light
         end = np.searchsorted(code, code, "right")
         index, step, held, many, total = np.arange(len(code)), 1, [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -424,8 +450,13 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         who, start, end = _runs_of(a)
         return pa.table([pa.array(who, pa.int64()), pa.array(size_a[start], pa.int32()), pa.array([0] * len(who), pa.int32()), pa.array([pack(b[x:y], size_b[x:y]) for x, y in zip(start, end)], pa.binary())], names=["a", "size_a", "home", "others"])
 
-    counted = reps.select("doc_id", "size", "codes", "levels").mapInArrow(prefixes, _PARTS_SQL).groupBy("part").applyInArrow(pairs, _PARTS_SQL)
-    return counted.groupBy("part").applyInArrow(summed, _NEAR)
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column("cell").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(loosened(cell), "i8", "i8")], names=["doc_a", "doc_b"])
+
+    counted = cut(reps.select("doc_id", "size", "codes", "levels").mapInArrow(prefixes, _PARTS_SQL).groupBy("part").applyInArrow(pairs, _PARTS_SQL))
+    return counted.where("kind = 0").groupBy("part").applyInArrow(summed, _NEAR), counted.where("kind = 1").mapInArrow(links, "doc_a bigint, doc_b bigint").distinct()
 
 
 def overlaps(near: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, many: int = FRAGMENTS) -> DataFrame:
@@ -540,9 +571,123 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def near_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, least, copies, size) of each document of an n-gram set that several have, with the least doc_id and the number of
-    those; and (a, size_a, home, others) with the near partners b > a of the least ones, as packed ids, sizes and overlaps."""
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... count[0] of them, and so on."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+
+
+def tile_overlaps(one: tuple, other: tuple) -> np.ndarray:
+    """Overlaps of every document of a tile with every one of another. A tile: how many documents; the document of each n-gram, sorted by n-gram; the distinct n-grams; where each one's run starts and ends."""
+    (rows, owner, grams_, begin, end), (columns, owner2, grams2, begin2, end2) = one, other
+    out = np.zeros((rows, columns), np.int32)
+    _, at, at2 = np.intersect1d(grams_, grams2, assume_unique=True, return_indices=True)
+    a, m, b, k = begin[at], (end - begin)[at], begin2[at2], (end2 - begin2)[at2]
+    dense = m * k >= DENSE * rows * columns
+    where = np.flatnonzero(dense)
+    for c in range(0, len(where), COLUMNS):
+        w = where[c : c + COLUMNS]
+        left, right = np.zeros((rows, len(w)), np.float32), np.zeros((columns, len(w)), np.float32)
+        left[owner[_ranges(a[w], m[w])], np.repeat(np.arange(len(w)), m[w])] = 1
+        right[owner2[_ranges(b[w], k[w])], np.repeat(np.arange(len(w)), k[w])] = 1
+        out += (left @ right.T).astype(np.int32)  # numbers to COLUMNS are exact
+    a, m, b, k = a[~dense], m[~dense], b[~dense], k[~dense]
+    for x, y in _runs(m * k, 1_000_000):
+        many = (m * k)[x:y]
+        gram, spot = np.repeat(np.arange(x, y), many), _ranges(np.zeros(y - x, np.int64), many)
+        key = owner[a[gram] + spot // k[gram]] * columns + owner2[b[gram] + spot % k[gram]]
+        out += np.bincount(key, minlength=rows * columns).reshape(rows, columns)
+    return out
+
+
+def crowds(reps: DataFrame, labels: DataFrame, most_docs: int = CROWD_DOCS, most_grams: int = CROWD_GRAMS) -> DataFrame:
+    """The documents of labels (doc_id, least), once for each task that compares two blocks i <= j of a crowd: least, i, j, block, doc_id, size, codes."""
+    held = cut(reps.select("doc_id", "size", "codes").join(sized(labels, labels.count()), "doc_id"))
+    blocks = F.ceil(F.greatest(F.count("*") / most_docs, F.sum(F.size("codes")) / most_grams)).cast("int")
+    wide = cut(held.groupBy("least").agg(blocks.alias("blocks")).where("blocks > 1"))
+    blocked = held.join(sized(wide, wide.count()), "least", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    each = blocked.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select("least", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc_id", "size", "codes")
+
+
+def compared(tasks: DataFrame, threshold: float = THRESHOLD, as_pairs: bool = False, tile: int = TILE) -> DataFrame:
+    """Of crowds(): (doc_id, links, head), a document's links to others in a task and the least doc_id it reaches by them there; or all near pairs, a row each."""
+
+    def tiles(key: tuple, rows: pa.Table) -> Iterator[tuple]:
+        """(doc_ids, sizes) of all, sorted; then the starts of two tiles, and their overlaps."""
+        trim()
+        block, docs, size = (rows.column(c).to_numpy() for c in ("block", "doc_id", "size"))
+        lists = rows.column("codes")
+        counts = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists.chunks]).astype(np.int64)
+        codes = np.concatenate([c.flatten().to_numpy() for c in lists.chunks])
+        at = np.lexsort((docs, size, block))
+        rank = np.empty(len(at), np.int64)
+        rank[at] = np.arange(len(at))
+        docs, size, block = docs[at], size[at].astype(np.int64), block[at]
+        _, gram = np.unique(codes, return_inverse=True)
+        del codes
+        owner = np.repeat(rank, counts)
+        several = np.bincount(gram)[gram] > 1
+        gram, owner = gram[several], owner[several]
+        yield docs, size
+        within = key[1] == key[2]
+        half, held = len(docs) if within else int(np.searchsorted(block, key[2].as_py())), []
+        starts = [*range(0, half, tile), *range(half, len(docs), tile)]
+        at = np.lexsort((gram, np.searchsorted(starts, owner, "right")))
+        gram, owner = gram[at], owner[at]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(np.searchsorted(starts, owner, "right") - 1, minlength=len(starts)))])
+        for s, e, a, b in zip(starts, [*starts[1:], len(docs)], edges, edges[1:]):
+            held.append((e - s, owner[a:b] - s, *_runs_of(gram[a:b])))
+        for p, x in enumerate(starts):
+            for q, y in enumerate(starts):
+                if q < p or not (within or x < half <= y):
+                    continue  # two blocks: only pairs between them
+                ends = x + held[p][0] - 1, y + held[q][0] - 1
+                if size[ends[0]] >= needed(size[y], threshold) and size[ends[1]] >= needed(size[x], threshold):
+                    yield x, y, tile_overlaps(held[p], held[q])
+
+    def near_of(size: np.ndarray, x: int, y: int, n: np.ndarray) -> np.ndarray:
+        whole = size[x : x + n.shape[0], None] + size[None, y : y + n.shape[1]] - n
+        near = n >= (threshold - 1e-12) * whole
+        return np.triu(near, 1) if x == y else near
+
+    def summed(key: tuple, rows: pa.Table) -> pa.Table:
+        found = tiles(key, rows)
+        docs, size = next(found)
+        links, head = np.zeros(len(docs), np.int64), np.arange(len(docs))
+        for x, y, n in found:
+            near = near_of(size, x, y, n)
+            links[x : x + n.shape[0]] += near.sum(1)
+            links[y : y + n.shape[1]] += near.sum(0)
+            a, b = np.nonzero(near & (head[x : x + n.shape[0], None] != head[None, y : y + n.shape[1]]))
+            if len(a):
+                node, least = _forest(head[a + x], head[b + y])
+                to = np.arange(len(docs))
+                to[node] = least
+                head = to[head]
+        order = np.lexsort((docs, head))
+        _, start, end = _runs_of(head[order])
+        least = np.empty(len(docs), np.int64)
+        least[order] = np.repeat(docs[order][start], end - start)
+        some = links > 0
+        return pa.table({"doc_id": pa.array(docs[some]), "links": pa.array(links[some]), "head": pa.array(least[some])})
+
+    def listed(key: tuple, rows: pa.Table) -> pa.Table:
+        found = tiles(key, rows)
+        docs, size = next(found)
+        out = []
+        for x, y, n in found:
+            i, k = np.nonzero(near_of(size, x, y, n))
+            a, b = np.where(docs[i + x] < docs[k + y], (i + x, k + y), (k + y, i + x))
+            out.append(pa.table([docs[a], size[a], docs[b], size[b], n[i, k].astype(np.int64)], schema=_PAIRS))
+        return pa.concat_tables(out) if out else _PAIRS.empty_table()
+
+    by = tasks.groupBy("least", "i", "j")
+    return by.applyInArrow(listed, _PAIRS_SQL) if as_pairs else by.applyInArrow(summed, "doc_id bigint, links bigint, head bigint")
+
+
+def near_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON, hot: int = HOT, most_docs: int = CROWD_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, least, copies, size) of each document of an n-gram set that several have, with the least doc_id and the number of those;
+    (a, size_a, b, size_b, overlap) of the near pairs a < b of least ones that are in no crowd together; and crowds() of the others."""
     spark = docs.sparkSession
     found = cut(sets(docs, n, threshold, local, common))
     release(spark)
@@ -551,9 +696,16 @@ def near_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local:
     members = cut(heavy_join(alike, classes, ["sig", "size"], "copies").select("doc_id", "least", "copies", "size"))
     later = members.where("doc_id > least").select("doc_id")
     reps = found.join(sized(later, later.count()), "doc_id", "left_anti")
-    near = cut(overlaps(cut(candidates(reps, threshold)), reps, threshold))
+    possible, links = candidates(reps, threshold, hot)
+    labels = components(links)
+    pairs = _pairs_of(overlaps(cut(possible), reps, threshold))
+    hint = sized(labels, labels.count())
+    for end in ("a", "b"):
+        pairs = pairs.join(hint.select(F.col("doc_id").alias(end), F.col("least").alias(f"crowd_{end}")), end, "left")
+    apart = cut(pairs.where("crowd_a is null or crowd_b is null or crowd_a <> crowd_b").select(*_PAIRS.names))
+    tasks = crowds(reps, labels, most_docs)
     release(spark)
-    return members, near
+    return members, apart, tasks
 
 
 def _pairs_of(near: DataFrame) -> DataFrame:
@@ -561,14 +713,16 @@ def _pairs_of(near: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, size_a, others in zip(*(batch.column(c).to_pylist() for c in ("a", "size_a", "others"))):
-                b, size_b, n = unpack(others, "i8", "u4", "u4")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(np.full(len(b), size_a, np.int64)), pa.array(b), pa.array(size_b.astype(np.int64)), pa.array(n.astype(np.int64))], names=["a", "size_a", "b", "size_b", "overlap"])
+            others = [unpack(c, "i8", "u4", "u4") for c in batch.column("others").to_pylist()]
+            many = [len(b) for b, _, _ in others]
+            a, size_a = (np.repeat(batch.column(c).to_numpy(), many).astype(np.int64) for c in ("a", "size_a"))
+            b, size_b, n = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in others)]).astype(np.int64) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, size_a, b, size_b, n)], schema=_PAIRS)
 
-    return near.mapInArrow(work, "a bigint, size_a bigint, b bigint, size_b bigint, overlap bigint")
+    return near.mapInArrow(work, _PAIRS_SQL)
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON) -> DataFrame:
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON, hot: int = HOT, most_docs: int = CROWD_DOCS, tile: int = TILE) -> DataFrame:
     """All near pairs: (doc_a, doc_b, overlap, jaccard), doc_a < doc_b.
 
     Documents with equal n-gram sets form a class; the class is given as pairs of its least doc_id with each other member (jaccard 1),
@@ -579,9 +733,9 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int =
     repeated rows change nothing; where their texts differ, the union of the n-grams counts, against the largest size. Ties at the
     threshold are in. Long texts count whole. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
-    members, near = near_sets(docs, n, threshold, local, common)
+    members, apart, tasks = near_sets(docs, n, threshold, local, common, hot, most_docs)
     jaccard = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    pairs = _pairs_of(near).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "overlap", F.round(F.least(jaccard, F.lit(1.0)), 6).alias("jaccard"))
+    pairs = apart.unionByName(compared(tasks, threshold, True, tile)).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "overlap", F.round(F.least(jaccard, F.lit(1.0)), 6).alias("jaccard"))
     return pairs.unionByName(members.where("doc_id > least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").cast("bigint").alias("overlap"), F.lit(1.0).alias("jaccard")))
 
 
@@ -598,34 +752,24 @@ def _forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[least]
 
 
-def _links_of(near: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, links): how many near partners each has; (doc_a, doc_b): fewer pairs with the same groups, as the links within a batch become a star."""
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            others = [unpack(c, "i8", "u4", "u4")[0] for c in batch.column("others").to_pylist()]
-            ids, many = np.unique(np.concatenate([np.zeros(0, np.int64), *others]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column("a"), pa.array(ids)]), pa.array(np.concatenate([[len(o) for o in others], many]).astype(np.int64))], names=["doc_id", "links"])
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            others = [unpack(c, "i8", "u4", "u4")[0] for c in batch.column("others").to_pylist()]
-            node, least = _forest(np.repeat(batch.column("a").to_numpy(), [len(o) for o in others]), np.concatenate([np.zeros(0, np.int64), *others]))
-            yield pa.RecordBatch.from_arrays([pa.array(least[node != least]), pa.array(node[node != least])], names=["doc_a", "doc_b"])
-
-    counted = near.mapInArrow(links, "doc_id bigint, links bigint").groupBy("doc_id").agg(F.sum("links").alias("links"))
-    return counted, near.repartition("home").mapInArrow(stars, "doc_a bigint, doc_b bigint")
+def _links_of(apart: DataFrame, tasks: DataFrame, threshold: float, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, links): how many near partners each has; (doc_a, doc_b): fewer pairs with the same groups, as the links within a task become a star."""
+    inner = cut(compared(tasks, threshold, tile=tile))
+    ends = apart.select(F.col("a").alias("doc_id"), F.lit(1).cast("bigint").alias("links")).unionByName(apart.select(F.col("b").alias("doc_id"), F.lit(1).cast("bigint").alias("links")))
+    counted = ends.unionByName(inner.select("doc_id", "links")).groupBy("doc_id").agg(F.sum("links").alias("links"))
+    stars = inner.where("head <> doc_id").select(F.col("head").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    return counted, stars.unionByName(apart.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
 
 
-def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON) -> DataFrame:
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, local: int = LOCAL, common: int = COMMON, hot: int = HOT, most_docs: int = CROWD_DOCS, tile: int = TILE) -> DataFrame:
     """(doc_id, class_id, copies, links) of every document that has a near copy.
 
     class_id: the least doc_id of its group, linked by near pairs by as many links as it takes. copies: documents with its n-gram set, itself
     among them. links: the other n-gram sets at or above the threshold with its own, each once however many documents have it. So no link between
     different texts is left out, and copies aren't expanded into pairs. Odd rows are treated as in join().
     """
-    members, near = near_sets(docs, n, threshold, local, common)
-    links, stars = _links_of(near)
+    members, apart, tasks = near_sets(docs, n, threshold, local, common, hot, most_docs)
+    links, stars = _links_of(apart, tasks, threshold, tile)
     groups = cut(components(stars))
     alike = members.where("doc_id = least").select(F.col("least").alias("doc_id"), "copies")
     heads = cut(groups.join(links, "doc_id").join(alike, "doc_id", "full").select("doc_id", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")))
@@ -659,8 +803,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     Rows with a null doc_id or text, and those without words, have no copies and stay. Of rows that share a doc_id, one stays: the least by text and the other columns' JSON.
     """
     spark = docs.sparkSession
-    members, near = near_sets(docs, n, threshold)
-    later = components(_links_of(near)[1]).where("doc_id > least").select("doc_id")
+    members, apart, tasks = near_sets(docs, n, threshold)
+    later = components(_links_of(apart, tasks, threshold)[1]).where("doc_id > least").select("doc_id")
     gone = cut(later.unionByName(members.where("doc_id > least").select("doc_id")).distinct().withColumnRenamed("doc_id", "gone_id"))
     release(spark)
     once = docs.join(sized(gone, gone.count()), docs["doc_id"] == gone["gone_id"], "left_anti")
