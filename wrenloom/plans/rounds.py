@@ -88,7 +88,8 @@ class Crawl:
         fetched = checkpointed(taken.join(answers, "url", "left").withColumn("fault", F.when(F.col("http_status").isNull(), F.coalesce("fault", F.lit("no response"))).otherwise(F.col("fault"))))
         changes = fetched.select("id", F.col("submit_seq").alias("seq"), F.when(F.col("fault").isNull(), schemas.SUCCESS).otherwise(schemas.FAILED).alias("status"), F.col("fault").alias("error"), now.alias("at"))
         self.tasks = checkpointed(task_table.fold_status(snapshot, changes))
-        worked = frontier.workers_of(fetched, self.stage_table)
+        once = fetched.select("stage", "submit_seq", "url", "fault").distinct()  # a URL may have several answers
+        worked = frontier.workers_of(once, self.stage_table)
         activities = worked.select("stage", F.col("submit_seq").alias("seq"), F.lit(schemas.ENDED).alias("type"), F.col("worker_id").cast("bigint").alias("worker_id"), "url", now.alias("start_time"), now.alias("end_time"), F.lit(0).cast("bigint").alias("duration_ns"), F.col("fault").alias("error"))
         children = None
         for handler in self.handlers:

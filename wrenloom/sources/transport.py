@@ -14,17 +14,17 @@ from wrenloom import schemas
 
 class Transport(Protocol):
     def fetch(self, requests: DataFrame) -> DataFrame:
-        """Responses to requests (url, byte_range, headers), a row each."""
+        """Responses to requests (url, byte_range, headers), a row each; more if a URL has more than one answer."""
 
 
 class Offline:
-    """Answers from a table of pages (url, html): 200, or 206 to a range, with the page's bytes; 404 for others."""
+    """Answers from a table of pages (url, html): 200, or 206 to a range, with the page's bytes; 404 for others. Pages with one URL all answer, a row each."""
 
     def __init__(self, pages: DataFrame):
         self.pages = pages
 
     def fetch(self, requests: DataFrame) -> DataFrame:
-        stored = self.pages.select(F.col("url").alias("_url"), F.encode("html", "UTF-8").alias("_body"))
+        stored = self.pages.where("html is not null").select(F.col("url").alias("_url"), F.encode("html", "UTF-8").alias("_body"))
         if "byte_range" not in requests.columns:
             requests = requests.withColumn("byte_range", F.lit(None).cast("string"))
         r = requests.join(stored, F.col("url") == F.col("_url"), "left")
