@@ -18,16 +18,20 @@ class Transport(Protocol):
 
 
 class Offline:
-    """Answers from a table of pages (url, html): 200, or 206 to a range, with the page's bytes; 404 for others. Pages with one URL all answer, a row each."""
+    """Answers from a table of pages (url, html): 200, or 206 to a range, with the page's bytes; 404 for others.
+
+    Pages with one URL all answer, a row each; to a request with a page_id, if requests have that column, only the page of that number does. Page numbers are taken to be distinct.
+    """
 
     def __init__(self, pages: DataFrame):
         self.pages = pages
 
     def fetch(self, requests: DataFrame) -> DataFrame:
-        stored = self.pages.where("html is not null").select(F.col("url").alias("_url"), F.encode("html", "UTF-8").alias("_body"))
+        keys = [c for c in ("url", "page_id") if c in requests.columns]
+        stored = self.pages.where("html is not null").select(*[F.col(c).alias(f"_{c}") for c in keys], F.encode("html", "UTF-8").alias("_body"))
         if "byte_range" not in requests.columns:
             requests = requests.withColumn("byte_range", F.lit(None).cast("string"))
-        r = requests.join(stored, F.col("url") == F.col("_url"), "left")
+        r = requests.join(stored, [F.col(c) == F.col(f"_{c}") for c in keys], "left")
         a, b = (F.regexp_extract("byte_range", r"^bytes=(\d+)-(\d+)$", g).cast("bigint") for g in (1, 2))
         ranged = F.col("byte_range").isNotNull()
         body = F.when(ranged, F.substring(F.col("_body"), (a + 1).cast("int"), (b - a + 1).cast("int"))).otherwise(F.col("_body"))
