@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 
 from compare import difference
-from wrenloom import config
+from wrenloom import config, schemas
+from wrenloom.operators import jobs
 from wrenloom.plans import catalogue, rounds
 from wrenloom.sources.transport import Offline
 
@@ -22,7 +23,7 @@ def folder(spark, tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["crawl_rounds", "head_probe", "offline_fetch"])
+@pytest.mark.parametrize("name", ["crawl_rounds", "head_probe", "offline_fetch", "repeat_job"])
 def test_query_equals_sql(spark, folder, name):
     assert difference(catalogue.queries()[name](spark, folder), folder, catalogue.oracle_sql()[name]) == ""
 
@@ -34,3 +35,11 @@ def test_pages_with_one_url_are_one_task(spark):
     assert sorted((r["url"], r["status"]) for r in crawl.tasks.collect()) == [("https://h/a", 2), ("https://h/d", 3)]
     assert sorted(r["url"] for r in out[0].children.collect()) == ["https://h/b", "https://h/c"]
     assert sorted((r["url"], r["error"]) for r in out[0].activities.collect()) == [("https://h/a", None), ("https://h/d", "status 404")]
+
+
+def test_rows_with_one_key_are_polled_once(spark):
+    """Of two rows the first runs, and the queue of two has room for the other key."""
+    t = spark.createDataFrame([(3, "first", "a", 2), (1, "first", "a", 3), (2, "first", "b", 0)], "id bigint, stage string, url string, status int")
+    polled = spark.createDataFrame([(7, 0, 0, "a", 0, "first", True), (8, 0, 0, "b", 0, "first", True)], schemas.SUBMISSIONS)
+    got = jobs.repeat(t, polled, config.stage_table(spark, [config.Stage("first", 1, 2)])).collect()
+    assert sorted((r["submit_seq"], r["id"], r["enqueued"]) for r in got) == [(7, 1, True), (8, 2, True)]

@@ -36,10 +36,11 @@ def recover(tasks: DataFrame, stages: DataFrame, as_of: Column, hours: int = STA
 
 
 def repeat(tasks: DataFrame, polled: DataFrame, stages: DataFrame) -> DataFrame:
-    """Outcomes of submitting the polling set again: every polled row is set pending first, so that ended ones run once more."""
-    ids = tasks.select("stage", "url", F.col("id").alias("row_id"))
-    again = polled.join(ids, ["stage", "url"]).select("submit_seq", F.col("row_id").alias("id"), "pid", "url", "retry", "stage", F.lit(True).alias("repeatable"))
-    reset = tasks.join(again.select("stage", "url").distinct().withColumn("_on", F.lit(True)), ["stage", "url"], "left").withColumn("status", F.when(F.col("_on"), schemas.PENDING).otherwise(F.col("status"))).select(*tasks.columns)
+    """Outcomes of submitting the polling set again, one for each: every polled row is set pending first, so that ended ones run once more. Of rows with one stage and URL, the one with the least id counts."""
+    state = F.struct(*[c for c in ("id", "status", "known") if c in tasks.columns])
+    rows = tasks.groupBy("stage", "url").agg(F.min_by(state, F.col("id")).alias("row")).select("stage", "url", "row.*")
+    again = polled.join(rows.select("stage", "url", F.col("id").alias("row_id")), ["stage", "url"]).select("submit_seq", F.col("row_id").alias("id"), "pid", "url", "retry", "stage", F.lit(True).alias("repeatable"))
+    reset = rows.join(again.select("stage", "url").distinct().withColumn("_on", F.lit(True)), ["stage", "url"], "left").withColumn("status", F.when(F.col("_on"), schemas.PENDING).otherwise(F.col("status"))).drop("_on")
     return task_table.submit(reset, again, stages)
 
 
